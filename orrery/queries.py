@@ -1,0 +1,4 @@
+"""Queries over the reference's own operators."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
