@@ -8,12 +8,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality
+from . import decontamination, langid, neardup, packing, quality, toxicity
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.groups_of(docs, neardup.Rule(words=3, percent=85))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.fit(docs, F.col("doc_id").isNotNull() & ~held_out)
+    found = langid.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def severity_labels(labels: DataFrame) -> DataFrame:
+    """Grades from the label table: 0 not toxic, 1 toxic, 2 toxic in a text of low quality too."""
+    return labels.select("doc_id", F.expr("case when toxic = 0 then 0 when toxic = 1 and coalesce(quality, 1) = 1 then 1 when toxic = 1 then 2 end").alias("grade"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, severity_labels(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model, keep=["doc_id"])
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -37,5 +61,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op8_packing, op9_quality, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_neardup, op6_langid, op7_toxicity, op8_packing, op9_quality, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
