@@ -2,18 +2,64 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, neardup, packing, quality, toxicity
-from .frames import table
+from . import decontamination, html, langid, neardup, packing, pii, quality, tokens, toxicity, urls
+from .frames import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
+#: Of this repository's queries only: a deployment keeps its own key secret.
+DEMO_KEY = b"a key for the queries of this repository"
+
+
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return html.extract(pages, keep=["page_id"])
+
+
+def bad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a label: a url's last path segment names the document that the page shows, which may have a quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    named = F.regexp_extract(urls.path_of(F.col("url")), r"/(\d{1,18})/?$", 1)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+    return pages.withColumn("doc_id", F.when(named != "", named.cast("long"))).join(labels, "doc_id", "left").select("page_id", "url", "bad")
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(bad_pages(spark, sf_dir), RULES, bad=F.col("bad"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.surrogates(docs, DEMO_KEY)
+    return found.select("doc_id", "text", F.transform("entities", lambda e: F.struct(e["type"].alias("type"), e["start"].alias("start"), e["surrogate"].alias("surrogate"))).alias("entities"))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = tokens.counted(docs.withColumn("n_chars", F.length("text")), path, keep=["source", "lang", "n_chars"])
+    rows = rows.withColumn("tokenizer", F.lit(tokens.version(path, "word_bpe_49k")))
+    store = tokens.Rollups(spark, f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}")
+    store.commit("all documents", tokens.deltas(inserted=rows))
+    return store.totals()
+
+
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.groups_of(docs, neardup.Rule(words=3, percent=85))
@@ -61,5 +107,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_neardup, op6_langid, op7_toxicity, op8_packing, op9_quality, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html, op2_urls, op3_pii, op4_neardup, op5_tokens, op6_langid, op7_toxicity, op8_packing, op9_quality, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
