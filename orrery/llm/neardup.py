@@ -10,11 +10,10 @@ What a group proposes grows with its size, not with the square of it:
 
 * In a group of up to SMALL classes all pairs are proposed, less those whose sizes rule a link out and those whose joint
   maximum-likelihood estimate from the two sketches lies MARGIN (over five standard errors) below the threshold.
-* In a larger group each class is compared with two centres only, the smallest id and one chosen by hash. Members that both
-  link to a centre need no test. A pair with a member x that doesn't link to centre c can only be linked if the two share
+* In a larger group each class is compared with its centre only, the smallest id. Members that both link to it need no test. A pair with a member x that doesn't link to centre c can only be linked if the two share
   differences from c: with differences they don't share they are at most as similar as x and c. So each member's set of
   differences (shingles it adds and shingles it lacks) is banded again, DEEPER bands of two minima, and wherever an
-  unlinked member meets others there, they form a new group, until none is left. Two classes whose differences overlap by
+  unlinked member meets others of another component there, they form a new group, until none is left. Two classes whose differences overlap by
   0.46, as those of equally distant linked classes must, miss all these bands with probability 0.3 %; this step is the only
   place where a link can be missed that matters, and it concerns groups of over SMALL classes alone.
 
@@ -233,16 +232,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _proposed(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b, star) of the groups (gid, id); b is a centre in star pairs."""
-    size = groups.groupBy("gid").agg(F.count("*").alias("size"), F.min("id").alias("c"), F.min_by("id", F.xxhash64("gid", "id")).alias("d")).where("size > 1")
+    """Pairs (a, b, star) of the groups (gid, id); b is the centre in star pairs."""
+    size = groups.groupBy("gid").agg(F.count("*").alias("size"), F.min("id").alias("c")).where("size > 1")
     members = groups.join(size, "gid")
-    star = members.where(f"size > {SMALL}").select(F.col("id").alias("a"), F.explode(F.array("c", "d")).alias("b")).where("a <> b")
+    star = members.where(f"size > {SMALL} and id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
     few = members.where(f"size <= {SMALL}").groupBy("gid").agg(F.collect_set("id").alias("ids"))
     free = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
     both = star.withColumn("star", F.lit(True)).unionByName(free.withColumn("star", F.lit(False)))
     return both.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _apart(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups whose members are in several components."""
+    named = groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    mixed = named.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("gid")
+    return groups.join(mixed, "gid", "left_semi")
+
+
 def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     spark = docs.sparkSession
@@ -277,15 +290,13 @@ def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", t
         stars = new if stars is None else stars.unionByName(new)
         spread = stars.select("b", "a", "linked", "round", F.explode("deeper").alias("x"))
         open_groups = spread.groupBy("b", "x").agg(F.count("*").alias("size"), F.bool_or(~F.col("linked")).alias("unlinked"), F.max("round").alias("last")).where(f"size > 1 and unlinked and last = {number}")
-        groups = written(spread.join(open_groups.select("b", "x"), ["b", "x"], "left_semi").select(F.struct("b", "x").alias("gid"), F.col("a").alias("id")).distinct())
+        groups = spread.join(open_groups.select("b", "x"), ["b", "x"], "left_semi").select(F.struct("b", "x").alias("gid"), F.col("a").alias("id")).distinct()
+        groups = written(_apart(groups, components(_all(links))))
         done.append(groups)
         if groups.isEmpty():
             break
         number += 1
-    edges = links[0]
-    for e in links[1:]:
-        edges = edges.unionByName(e)
-    found = components(edges)
+    found = components(_all(links))
     named = cls.select("h1", "h2", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
     for x in done:
         dropped(x)

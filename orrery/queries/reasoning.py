@@ -350,11 +350,14 @@ def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- search, vectors, resolution
-@query("full_text_search", "SELECT p_partkey, 2::BIGINT AS rank FROM part WHERE list_contains(str_split(lower(p_type), ' '), lower(split_part((SELECT p_type FROM part WHERE p_partkey = 1), ' ', 1))) AND list_contains(str_split(lower(p_type), ' '), lower(split_part((SELECT p_type FROM part WHERE p_partkey = 1), ' ', 2)))")
+@query("full_text_search", "SELECT p_partkey, p_name, 2::BIGINT AS rank FROM part WHERE list_contains(str_split(lower(p_name), ' '), 'red') AND list_contains(str_split(lower(p_name), ' '), 'widget')")
 def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    first = part.where("p_partkey = 1").first().p_type.split()
-    return R.full_text(part, "p_type", " ".join(first[:2])).select("p_partkey", "rank")
+    return R.full_text(read(spark, sf_dir, "part"), "p_name", "Red widgets").select("p_partkey", "p_name", "rank")
+
+
+@query("full_text_any_but", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '\\b(red|blue)\\b') AND NOT regexp_matches(p_name, '\\bbolt\\b')")
+def full_text_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.full_text(read(spark, sf_dir, "part"), "p_name", "red blue -bolt", any_term=True).select("p_partkey")
 
 
 @query("cosine_top_k", "SELECT v.vec_id, ROUND(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id LIMIT 20")
