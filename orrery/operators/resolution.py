@@ -16,8 +16,9 @@ _STOP = "a an and are as at be by for from has he in is it its of on that the to
 
 
 def terms(text: Column) -> Column:
-    """Lower-cased words without stop words, with plural and verb endings cut."""
+    """Lower-cased words without stop words, with plural and verb endings cut and a consonant that the ending doubled."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(_STOP))
+    words = F.transform(words, lambda w: F.regexp_replace(w, r"(?<=\w{2})([bdfgmnprt])\1(?:ing|ed)$", "$1"))
     return F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, "(?<=\\w{3})(?:ies)$", "y"), "(?<=\\w{3})(?:ing|ed|es|s)$", ""))
 
 
