@@ -4,18 +4,21 @@ A document is its set of distinct word shingles (the whole text as one where it
 sets form one class. Each class has a sketch of REGISTERS truncated, exponentially spaced minima: register i holds
 ``floor(1 - log_BASE(x))``, x the least of exponential variables drawn for the shingles by hash i, cut to [0, TOP]. Such
 sketches merge by the maximum. Bands of ROWS registers put classes into groups; two classes at similarity s miss all
-bands with probability (1 - s^4)^32: 5e-8 at 0.8 and 6e-11 at 0.85.
-
-What a group proposes grows with its size, not with the square of it:
-
-* In a group of up to SMALL classes all pairs are proposed, less those whose sizes rule a link out and those whose joint
-  maximum-likelihood estimate from the two sketches lies MARGIN (over five standard errors) below the threshold.
-* In a larger group each class is compared with its centre only, the smallest id. Members that both link to it need no test. A pair with a member x that doesn't link to centre c can only be linked if the two share
-  differences from c: with differences they don't share they are at most as similar as x and c. So each member's set of
-  differences (shingles it adds and shingles it lacks) is banded again, DEEPER bands of two minima, and wherever an
-  unlinked member meets others of another component there, they form a new group, until none is left. Two classes whose differences overlap by
-  0.46, as those of equally distant linked classes must, miss all these bands with probability 0.3 %; this step is the only
-  place where a link can be missed that matters, and it concerns groups of over SMALL classes alone.
+bands with probability (1 - s^6)^32: 6e-5 at 0.8 and 3e-7 at 0.85.
+
+What a group proposes grows with its size, not with the square of it. A proposed pair is dropped before its sets are
+compared if the two sizes rule a link out or if the joint maximum-likelihood estimate from the two sketches lies MARGIN
+(over five standard errors) below the threshold.
+
+* A group of up to SMALL classes proposes all its pairs.
+* A larger one compares each class with its centre, the member that meets most others over all bands. Links so far then
+  give components, and pairs within one component need no test. If all but at most SMALL members of a group are in one
+  component, each of the others is paired with every member.
+* If more are outside, differences from the centre tell who can be linked: of two members x and y that are linked,
+  |x ^ y| is small, so that their differences from the centre c, x ^ c and y ^ c, overlap by a known share that grows with
+  their size (1/3 where both are just at the threshold, 0.6 at twice that distance, and so on). Differences are banded with 2,
+  4, 8 or 16 minima by that size, and their groups are treated like the first ones, without the centre. A linked pair
+  misses all these bands with a probability of at most 0.002. Only groups of over SMALL classes get here.
 
 Only verified links are kept; components are found by alternating stars. Nothing of the documents is collected: the driver
 gets counts, and a filter of at most FILTER_BITS bits that keeps shingle sets of documents without partner off the shuffle
@@ -41,20 +44,20 @@ from . import textkit as K
 from .components import components
 from .frames import dropped, written
 
-REGISTERS, ROWS = 128, 4
+REGISTERS, ROWS = 192, 6
 BASE, TOP = 1.02, 65534
-SMALL = 16
-DEEPER = 24
-MARGIN = 0.22
+SMALL = 64
+MINIMA, DEEP_BANDS = 192, {2: 64, 4: 48, 8: 48, 16: 48}
+MARGIN = 0.19
 FILTER_BITS = 1 << 28
 
 _rng = np.random.default_rng(41)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_DEEP = _rng.integers(0, 1 << 63, 2 * DEEPER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DEEP = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, (REGISTERS // ROWS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
+#: For each number of minima in a band of differences: which ones each band has.
+_CHOSEN = {r: np.concatenate([_rng.permutation(MINIMA).reshape(-1, r) for _ in range(-(-n * r // MINIMA))])[:n] for r, n in DEEP_BANDS.items()}
 @dataclass(frozen=True)
 class Rule:
     """Link two documents if 100 * |intersection| >= percent * |union| of their sets of ``words``-word shingles."""
@@ -118,18 +121,33 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.take_along_axis(j, like.argmax(1)[:, None], 1)[:, 0]
 
 
-def differences(p: np.ndarray, q: np.ndarray, only_p: np.ndarray) -> np.ndarray:
-    """Band keys of the differences of set p from set q; ``only_p`` marks what q lacks."""
-    lacks = q[K.in_sorted(q, p) < 0]
-    e = np.concatenate((p[only_p], K.mix(lacks ^ np.uint64(0xD1B54A32D192ED03))))
+
+
+def differences(p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Band keys of the differences of set p from set q.
+
+    The number of minima in a band follows from the size of the differences, in units of the most that two linked sets
+    differ by. Sets that can be linked have sizes less than a fifth and one unit apart, so each gets all kinds in that range.
+    """
+    lacks, adds = q[K.in_sorted(p, q) < 0], p[K.in_sorted(q, p) < 0]
+    e = np.concatenate((adds, K.mix(lacks ^ np.uint64(0xD1B54A32D192ED03))))
     if not len(e):
         return np.zeros(0, np.int64)
-    least = np.full(2 * DEEPER, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(e), 4096):
         v = e[a : a + 4096, None] * _DEEP
         np.minimum(least, (v ^ (v >> np.uint64(29))).min(0), out=least)
-    pairs = least.reshape(DEEPER, 2)
-    return K.mix(K.mix(pairs[:, 0] + np.arange(DEEPER, dtype=np.uint64)) ^ pairs[:, 1]).view(np.int64)
+    unit = 2 * len(p) * (100 - percent) / (100 + percent)
+    size = len(e) / max(unit, 0.5)
+    kinds = [min(3, max(0, math.floor(math.log2(max(x, 1))))) for x in (0.8 * size - 1.2, size)]
+    keys = []
+    for kind in range(kinds[0], kinds[1] + 1):
+        parts = least[_CHOSEN[2 << kind]]
+        key = np.arange(len(parts), dtype=np.uint64) + np.uint64(kind * 1000)
+        for j in range(parts.shape[1]):
+            key = K.mix(key ^ parts[:, j])
+        keys.append(key)
+    return np.concatenate(keys).view(np.int64)
 
 
 def signatures(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,10 +212,9 @@ def _sets(docs: DataFrame, members: DataFrame, rule: Rule, doc_id: str, text: st
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Proposed pairs (a, b) that sizes and sketches don't rule out."""
+    """Proposed pairs (a, b) whose sketches don't rule a link out."""
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(left, "a").where(F.col("na") > 0).join(right, "b").where(f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb)")
     schema = pairs.schema
     floor = rule.percent / 100 - MARGIN
 
@@ -207,100 +224,130 @@ def _likely(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             near = estimate(*regs, *(np.asarray(batch.column(c)).astype(float) for c in ("na", "nb"))) >= floor
             yield batch.select([f.name for f in schema]).filter(pa.array(near))
 
-    return both.mapInArrow(run, schema)
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """a, b, star, linked, and for star pairs the band keys of a's differences from b."""
-    key = pairs.schema["a"].dataType
-    schema = T.StructType([T.StructField("a", key), T.StructField("b", key), T.StructField("star", T.BooleanType()), T.StructField("linked", T.BooleanType()), T.StructField("deeper", T.ArrayType(T.LongType()))])
+def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that are linked."""
+    schema = pairs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, deeper = [], []
-            for star, x, y in zip(batch.column("star").to_pylist(), batch.column("xa"), batch.column("xb"), strict=True):
+            linked = []
+            for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                out = K.in_sorted(p, q) < 0
-                shared = len(p) - int(out.sum())
+                shared = int((K.in_sorted(p, q) >= 0).sum())
                 linked.append(100 * shared >= rule.percent * (len(p) + len(q) - shared))
-                deeper.append(differences(p, q, out) if star else None)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("star"), pa.array(linked, pa.bool_()), pa.array(deeper, pa.list_(pa.int64()))], names=[f.name for f in schema])
+            yield batch.select([f.name for f in schema]).filter(pa.array(linked, pa.bool_()))
 
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("xa"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("xb"))
-    return pairs.select("a", "b", "star").join(right, "b").join(left, "a").select("a", "b", "star", "xa", "xb").mapInArrow(run, schema)
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, schema)
+
+
+def _deeper(groups: DataFrame, centres: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Groups (gid, id, n) of the members' differences from their group's centre."""
+    schema = T.StructType([T.StructField("gid", T.LongType()), groups.schema["id"], groups.schema["n"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gid, counts = [], []
+            for g, x, y in zip(batch.column("salt").to_pylist(), batch.column("xa"), batch.column("xb"), strict=True):
+                keys = K.mix(differences(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), rule.percent).view(np.uint64) ^ np.uint64(g & 0xFFFFFFFFFFFFFFFF))
+                gid.append(keys.view(np.int64))
+                counts.append(len(keys))
+            at = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gid), pa.int64()), batch.column("id").take(at), batch.column("n").take(at)], names=[f.name for f in schema])
+
+    # one centre for several groups: its members' differences are the same in all of them
+    pairs = groups.join(centres, "gid").where("id <> centre").select("id", "n", "centre", F.xxhash64("centre").alias("salt")).distinct()
+    left = sets.select("id", F.col("items").alias("xa"))
+    right = sets.select(F.col("id").alias("centre"), F.col("items").alias("xb"))
+    return pairs.join(left, "id").join(right, "centre").select("id", "n", "salt", "xa", "xb").mapInArrow(run, schema).distinct()
+
+
+def _fits(rule: Rule, a: str = "na", b: str = "nb") -> str:
+    return f"100 * least({a}, {b}) >= {rule.percent} * greatest({a}, {b})"
+
 
+def _within(groups: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of different components (c) within groups (gid, id, n, c) of at most SMALL members."""
+    few = groups.groupBy("gid").agg(F.collect_list(F.struct("id", "n", "c")).alias("m"))
+    first = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
+    return first.where(f"x.id < y.id and x.c <> y.c and {_fits(rule, 'x.n', 'y.n')}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
-def _proposed(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b, star) of the groups (gid, id); b is the centre in star pairs."""
-    size = groups.groupBy("gid").agg(F.count("*").alias("size"), F.min("id").alias("c")).where("size > 1")
-    members = groups.join(size, "gid")
-    star = members.where(f"size > {SMALL} and id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
-    few = members.where(f"size <= {SMALL}").groupBy("gid").agg(F.collect_set("id").alias("ids"))
-    free = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
-    both = star.withColumn("star", F.lit(True)).unionByName(free.withColumn("star", F.lit(False)))
-    return both.groupBy("a", "b").agg(F.max("star").alias("star"))
 
+def _crossing(groups: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of the members of groups (gid, id, n, c, main) that are outside the main component with all others."""
+    out = groups.where("c <> main").select("gid", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    both = out.join(groups.select("gid", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "gid")
+    return both.where(f"ca <> cb and {_fits(rule)}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
+def _with_size(members: DataFrame) -> DataFrame:
+    size = members.groupBy("gid").agg(F.count("*").alias("size")).where("size > 1")
+    return members.join(size, "gid")
 
-def _apart(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """Groups whose members are in several components."""
-    named = groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    mixed = named.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("gid")
-    return groups.join(mixed, "gid", "left_semi")
+
+def _named(groups: DataFrame, found: DataFrame | None) -> DataFrame:
+    """groups with the component c of each member."""
+    if found is None:
+        return groups.withColumn("c", F.col("id"))
+    return groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
 def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
-    spark = docs.sparkSession
     signed = written(signatures(docs, rule, doc_id, text))
     cls = written(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "sketch", "bands")).alias("x")).select("h1", "h2", "n", "x.*"))
     classes = cls.select("id", "n", "sketch")
-    exploded = cls.select("id", F.posexplode("bands")).select(F.struct("pos", "col").alias("gid"), "id").distinct()
-    crowded = exploded.groupBy("gid").agg(F.count("*").alias("size")).where("size > 1").select("gid")
-    groups = written(exploded.join(crowded, "gid", "left_semi"))
+    groups = written(_with_size(cls.select("id", "n", F.explode("bands").alias("gid")).distinct()))
+    kept = [groups]
     sets = written(_sets(docs, groups.select("id").distinct(), rule, doc_id, text))
-    stars: DataFrame | None = None
-    links: list[DataFrame] = []
-    tested: DataFrame | None = None
-    done: list[DataFrame] = [groups]
-    number = 0
+    found: DataFrame | None = None
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        """The components after the pairs that are linked have been added."""
+        ahead = written(_likely(pairs.distinct(), classes, rule))
+        links = _linked(ahead, sets, rule)
+        if found is not None:
+            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        out = written(components(links))
+        dropped(ahead)
+        kept.append(out)
+        return out
+
     while True:
-        pairs = _proposed(groups)
-        if tested is not None:
-            old = tested.select("a", "b", F.col("star").alias("was"))
-            old = old.unionByName(old.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(False).alias("was")))
-            old = old.groupBy("a", "b").agg(F.max("was").alias("was"))
-            pairs = pairs.join(old, ["a", "b"], "left").where("was is null or (star and not was)").select("a", "b", "star")
-        pairs = written(pairs)
-        ahead = pairs.where("star").unionByName(_likely(pairs.where("not star"), classes, rule))
-        now = written(_verified(ahead, sets, rule).withColumn("round", F.lit(number)))
-        links.append(now.where("linked").select("a", "b"))
-        tested = pairs.select("a", "b", "star") if tested is None else tested.unionByName(pairs.select("a", "b", "star"))
-        done += [pairs, now]
-        new = now.where("star")
-        if new.isEmpty():
+        large = groups.where(f"size > {SMALL}")
+        pairs = _within(_named(groups.where(f"size <= {SMALL}"), found), rule)
+        if large.isEmpty():
+            found = settle(pairs)
+            break
+        # the centre of a group: of its members the one that meets most others
+        met = large.groupBy("id").agg(F.sum("size").alias("met"))
+        centres = written(large.join(met, "id").groupBy("gid").agg(F.max(F.struct("met", "id")).alias("x"), F.max_by("n", F.struct("met", "id")).alias("nb")).select("gid", F.col("x.id").alias("centre"), "nb"))
+        star = large.join(centres, "gid").where("id <> centre and " + _fits(rule, "n", "nb"))
+        found = settle(pairs.unionByName(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))))
+        # what is outside each large group's main component
+        named = _named(large, found)
+        by = named.groupBy("gid", "c").agg(F.count("*").alias("k"))
+        main = by.groupBy("gid").agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("all")).select("gid", F.col("x.c").alias("main"), (F.col("all") - F.col("x.k")).alias("outside")).where("outside > 0")
+        apart = written(named.join(main, "gid"))
+        kept += [centres, apart]
+        if apart.isEmpty():
+            break
+        found = settle(_crossing(apart.where(f"outside <= {SMALL}"), rule))
+        spread = apart.where(f"outside > {SMALL}").select("gid", "id", "n")
+        if spread.isEmpty():
             break
-        stars = new if stars is None else stars.unionByName(new)
-        spread = stars.select("b", "a", "linked", "round", F.explode("deeper").alias("x"))
-        open_groups = spread.groupBy("b", "x").agg(F.count("*").alias("size"), F.bool_or(~F.col("linked")).alias("unlinked"), F.max("round").alias("last")).where(f"size > 1 and unlinked and last = {number}")
-        groups = spread.join(open_groups.select("b", "x"), ["b", "x"], "left_semi").select(F.struct("b", "x").alias("gid"), F.col("a").alias("id")).distinct()
-        groups = written(_apart(groups, components(_all(links))))
-        done.append(groups)
+        groups = written(_with_size(_deeper(spread, centres.select("gid", "centre"), sets, rule)))
+        kept.append(groups)
         if groups.isEmpty():
             break
-        number += 1
-    found = components(_all(links))
     named = cls.select("h1", "h2", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
-    for x in done:
+    named = written(named)
+    for x in [*kept, sets]:
         dropped(x)
-    dropped(sets)
     out = signed.select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     own = F.coalesce("component", "id")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
