@@ -129,7 +129,7 @@ def differences(p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
     The number of minima in a band follows from the size of the differences, in units of the most that two linked sets
     differ by. Sets that can be linked have sizes less than a fifth and one unit apart, so each gets all kinds in that range.
     """
-    lacks, adds = q[K.in_sorted(p, q) < 0], p[K.in_sorted(q, p) < 0]
+    lacks, adds = q[K.in_sorted(q, p) < 0], p[K.in_sorted(p, q) < 0]
     e = np.concatenate((adds, K.mix(lacks ^ np.uint64(0xD1B54A32D192ED03))))
     if not len(e):
         return np.zeros(0, np.int64)
@@ -296,8 +296,8 @@ def _named(groups: DataFrame, found: DataFrame | None) -> DataFrame:
     return groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs."""
+def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", text: str = "text", small: int = SMALL) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs. small: groups of up to so many classes propose all pairs."""
     signed = written(signatures(docs, rule, doc_id, text))
     cls = written(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "sketch", "bands")).alias("x")).select("h1", "h2", "n", "x.*"))
     classes = cls.select("id", "n", "sketch")
@@ -318,8 +318,8 @@ def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", t
         return out
 
     while True:
-        large = groups.where(f"size > {SMALL}")
-        pairs = _within(_named(groups.where(f"size <= {SMALL}"), found), rule)
+        large = groups.where(f"size > {small}")
+        pairs = _within(_named(groups.where(f"size <= {small}"), found), rule)
         if large.isEmpty():
             found = settle(pairs)
             break
@@ -336,8 +336,8 @@ def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", t
         kept += [centres, apart]
         if apart.isEmpty():
             break
-        found = settle(_crossing(apart.where(f"outside <= {SMALL}"), rule))
-        spread = apart.where(f"outside > {SMALL}").select("gid", "id", "n")
+        found = settle(_crossing(apart.where(f"outside <= {small}"), rule))
+        spread = apart.where(f"outside > {small}").select("gid", "id", "n")
         if spread.isEmpty():
             break
         groups = written(_with_size(_deeper(spread, centres.select("gid", "centre"), sets, rule)))

@@ -220,6 +220,26 @@ def test_near_duplicates(spark, words, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_in_large_groups(spark):
+    """Groups that no centre holds together: a chain of versions, two families and texts that share a passage only."""
+    rng = np.random.default_rng(77)
+    chain = [prose(31, 150).split()]
+    for i in range(40):
+        chain.append(list(chain[-1]))
+        for at in rng.integers(0, 150, 3):
+            chain[-1][at] = f"c{i}x{at}"
+    passage = prose(32, 100)
+    texts = [" ".join(c) for c in chain] + [passage + " " + prose(200 + i, 60) for i in range(25)]
+    for f in range(2):
+        family = passage + " " + prose(33 + f, 22 + f)
+        texts += [edited(family, rng, s) for s in np.linspace(0, 0.05, 12)]
+    rng.shuffle(texts)
+    want = brute_groups(texts, 3, 85)
+    assert 20 < len({c for _, c in want}) < len(texts) - 20
+    got = neardup.groups_of(docs_of(spark, texts), neardup.Rule(3, 85), small=3).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.groups_of(docs_of(spark, ["a"]).limit(0)).count() == 0
     rows = neardup.groups_of(docs_of(spark, [None, "", "  "])).collect()
