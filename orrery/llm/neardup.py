@@ -8,17 +8,19 @@ bands with probability (1 - s^6)^32: 6e-5 at 0.8 and 3e-7 at 0.85.
 
 What a group proposes grows with its size, not with the square of it. A proposed pair is dropped before its sets are
 compared if the two sizes rule a link out or if the joint maximum-likelihood estimate from the two sketches lies MARGIN
-(over five standard errors) below the threshold.
+(over four standard errors) below the threshold.
 
 * A group of up to SMALL classes proposes all its pairs.
 * A larger one compares each class with its centre, the member that meets most others over all bands. Links so far then
-  give components, and pairs within one component need no test. If all but at most SMALL members of a group are in one
+  give components, and pairs within one component need no test. If all but at most OUTSIDE members of a group are in one
   component, each of the others is paired with every member.
 * If more are outside, differences from the centre tell who can be linked: of two members x and y that are linked,
   |x ^ y| is small, so that their differences from the centre c, x ^ c and y ^ c, overlap by a known share that grows with
   their size (1/3 where both are just at the threshold, 0.6 at twice that distance, and so on). Differences are banded with 2,
   4, 8 or 16 minima by that size, and their groups are treated like the first ones, without the centre. A linked pair
-  misses all these bands with a probability of at most 0.002. Only groups of over SMALL classes get here.
+  whose distances from the centre add up to two thresholds or more misses all these bands with a probability of at most
+  0.002; one of a member just outside the threshold with one very close to the centre can be missed more often. Only groups
+  with over OUTSIDE classes outside get here, and a pair is missed only if that happens in every group they share.
 
 Only verified links are kept; components are found by alternating stars. Nothing of the documents is collected: the driver
 gets counts, and a filter of at most FILTER_BITS bits that keeps shingle sets of documents without partner off the shuffle
@@ -46,9 +48,9 @@ from .frames import dropped, written
 
 REGISTERS, ROWS = 192, 6
 BASE, TOP = 1.02, 65534
-SMALL = 64
+SMALL, OUTSIDE = 16, 64
 MINIMA, DEEP_BANDS = 192, {2: 64, 4: 48, 8: 48, 16: 48}
-MARGIN = 0.19
+MARGIN = 0.12
 FILTER_BITS = 1 << 28
 
 _rng = np.random.default_rng(41)
@@ -296,8 +298,8 @@ def _named(groups: DataFrame, found: DataFrame | None) -> DataFrame:
     return groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", text: str = "text", small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs. small: groups of up to so many classes propose all pairs."""
+def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", text: str = "text", small: int = SMALL, outside: int = OUTSIDE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs. small: groups of up to so many classes propose all pairs. outside: how many outside the main component are paired with all."""
     signed = written(signatures(docs, rule, doc_id, text))
     cls = written(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "sketch", "bands")).alias("x")).select("h1", "h2", "n", "x.*"))
     classes = cls.select("id", "n", "sketch")
@@ -336,8 +338,8 @@ def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", t
         kept += [centres, apart]
         if apart.isEmpty():
             break
-        found = settle(_crossing(apart.where(f"outside <= {small}"), rule))
-        spread = apart.where(f"outside > {small}").select("gid", "id", "n")
+        found = settle(_crossing(apart.where(f"outside <= {outside}"), rule))
+        spread = apart.where(f"outside > {outside}").select("gid", "id", "n")
         if spread.isEmpty():
             break
         groups = written(_with_size(_deeper(spread, centres.select("gid", "centre"), sets, rule)))

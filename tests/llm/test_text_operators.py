@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orrery.llm import decontamination, html, langid, neardup, packing, pii, quality, textkit, tokens, toxicity, urls
+from orrery.llm.components import components
 from orrery.llm.wordbpe import encoder
 
 ODD = [None, "", " ", "\n\n", "a", "A b", "é ü 漢字 b", "x" * 9000, "word " * 3000, "Same line\nSame line\nother", "the quick brown fox jumps over the lazy dog again and again " * 3]
@@ -236,10 +237,26 @@ def test_near_duplicates_in_large_groups(spark):
     rng.shuffle(texts)
     want = brute_groups(texts, 3, 85)
     assert 20 < len({c for _, c in want}) < len(texts) - 20
-    got = neardup.groups_of(docs_of(spark, texts), neardup.Rule(3, 85), small=3).orderBy("doc_id").collect()
+    got = neardup.groups_of(docs_of(spark, texts), neardup.Rule(3, 85), small=3, outside=3).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in got] == want
 
 
+@pytest.mark.parametrize("block", [10, 500_000])
+def test_components(spark, block):
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (230, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000), (None, 1)]
+    comp = {x: x for p in pairs for x in p}
+    for _ in comp:
+        for a, b in pairs:
+            if a is not None:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    linked = {x for a, b in pairs if a is not None and a != b for x in (a, b)}
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long"), block_edges=block).collect()}
+    assert got == {x: comp[x] for x in linked}
+    words = spark.createDataFrame([("b", "a"), ("c", "b"), ("é", "z")], "a string, b string")
+    assert {tuple(r) for r in components(words, block_edges=block).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("z", "z"), ("é", "z")}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.groups_of(docs_of(spark, ["a"]).limit(0)).count() == 0
     rows = neardup.groups_of(docs_of(spark, [None, "", "  "])).collect()
