@@ -12,8 +12,10 @@ compared if the two sizes rule a link out or if the joint maximum-likelihood est
 
 * A group of up to SMALL classes proposes all its pairs.
 * A larger one compares each class with its centre, the member that meets most others over all bands. Links so far then
-  give components, and pairs within one component need no test. If all but at most OUTSIDE members of a group are in one
-  component, each of the others is paired with every member.
+  give components, and pairs within one component need no test. Groups that are still apart lose the members that can't be
+  linked with any other: shingles that only one of these groups' classes has bound the intersection of every pair it is in
+  from above. The bound is exact, costs one count of shingles, and also drops single pairs. If at most OUTSIDE members
+  are left outside the main component, each of them is paired with every member.
 * If more are outside, differences from the centre tell who can be linked: of two members x and y that are linked,
   |x ^ y| is small, so that their differences from the centre c, x ^ c and y ^ c, overlap by a known share that grows with
   their size (1/3 where both are just at the threshold, 0.6 at twice that distance, and so on). Differences are banded with 2,
@@ -272,6 +274,26 @@ def _fits(rule: Rule, a: str = "na", b: str = "nb") -> str:
     return f"100 * least({a}, {b}) >= {rule.percent} * greatest({a}, {b})"
 
 
+def _can(rule: Rule, n: str, u: str, m: str, v: str) -> str:
+    """Whether sets of sizes n and m can be linked of which u and v shingles are in no other set."""
+    both = f"least({n} - {u}, {m} - {v})"
+    return f"100 * {both} >= {rule.percent} * ({n} + {m} - {both})"
+
+
+def _own(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """id and u: how many of its shingles no other of the members (id) has. Members without any are left out."""
+    schema = T.StructType([sets.schema["id"], T.StructField("x", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = np.frombuffer(batch.column(1)[k].as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(x), k))), pa.array(x)], names=["id", "x"])
+
+    items = sets.join(members.distinct(), "id", "left_semi").select("id", "items").mapInArrow(run, schema)
+    return items.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("k")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
+
+
 def _within(groups: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of different components (c) within groups (gid, id, n, c) of at most SMALL members."""
     few = groups.groupBy("gid").agg(F.collect_list(F.struct("id", "n", "c")).alias("m"))
@@ -280,10 +302,10 @@ def _within(groups: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _crossing(groups: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of the members of groups (gid, id, n, c, main) that are outside the main component with all others."""
-    out = groups.where("c <> main").select("gid", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    both = out.join(groups.select("gid", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "gid")
-    return both.where(f"ca <> cb and {_fits(rule)}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """Pairs (a, b) of the members of groups (gid, id, n, u, c, main) that are outside the main component with all others."""
+    out = groups.where("c <> main").select("gid", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("c").alias("ca"))
+    both = out.join(groups.select("gid", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("c").alias("cb")), "gid")
+    return both.where(f"ca <> cb and {_can(rule, 'na', 'ua', 'nb', 'ub')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _with_size(members: DataFrame) -> DataFrame:
@@ -298,6 +320,13 @@ def _named(groups: DataFrame, found: DataFrame | None) -> DataFrame:
     return groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
+def _apart(named: DataFrame) -> DataFrame:
+    """The groups with members in several components, with the main one and how many members are outside."""
+    by = named.groupBy("gid", "c").agg(F.count("*").alias("k"))
+    main = by.groupBy("gid").agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("all"))
+    return named.join(main.select("gid", F.col("x.c").alias("main"), (F.col("all") - F.col("x.k")).alias("outside")).where("outside > 0"), "gid")
+
+
 def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", text: str = "text", small: int = SMALL, outside: int = OUTSIDE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs. small: groups of up to so many classes propose all pairs. outside: how many outside the main component are paired with all."""
     signed = written(signatures(docs, rule, doc_id, text))
@@ -307,6 +336,7 @@ def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", t
     kept = [groups]
     sets = written(_sets(docs, groups.select("id").distinct(), rule, doc_id, text))
     found: DataFrame | None = None
+    own: DataFrame | None = None
 
     def settle(pairs: DataFrame) -> DataFrame:
         """The components after the pairs that are linked have been added."""
@@ -330,12 +360,18 @@ def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", t
         centres = written(large.join(met, "id").groupBy("gid").agg(F.max(F.struct("met", "id")).alias("x"), F.max_by("n", F.struct("met", "id")).alias("nb")).select("gid", F.col("x.id").alias("centre"), "nb"))
         star = large.join(centres, "gid").where("id <> centre and " + _fits(rule, "n", "nb"))
         found = settle(pairs.unionByName(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))))
-        # what is outside each large group's main component
-        named = _named(large, found)
-        by = named.groupBy("gid", "c").agg(F.count("*").alias("k"))
-        main = by.groupBy("gid").agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("all")).select("gid", F.col("x.c").alias("main"), (F.col("all") - F.col("x.k")).alias("outside")).where("outside > 0")
-        apart = written(named.join(main, "gid"))
+        # what is outside each large group's main component, and can be linked at all
+        apart = written(_apart(_named(large.select("gid", "id", "n"), found)))
         kept += [centres, apart]
+        if apart.isEmpty():
+            break
+        if own is None:  # later groups have no other members than the first ones
+            own = written(_own(apart.select("id"), sets))
+            kept.append(own)
+        sizes = apart.groupBy("gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        able = apart.drop("main", "outside").join(sizes, "gid").join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).withColumn("m", F.expr("least(greatest(n - u, low), high)"))
+        apart = written(_apart(able.where(_can(rule, "n", "u", "m", "0")).select("gid", "id", "n", "u", "c")))
+        kept.append(apart)
         if apart.isEmpty():
             break
         found = settle(_crossing(apart.where(f"outside <= {outside}"), rule))
