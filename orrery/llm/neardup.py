@@ -250,8 +250,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _deeper(groups: DataFrame, centres: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Groups (gid, id, n) of the members' differences from their group's centre."""
-    schema = T.StructType([T.StructField("gid", T.LongType()), groups.schema["id"], groups.schema["n"]])
+    """Groups (gid, id, n, u) of the members' differences from their group's centre."""
+    schema = T.StructType([T.StructField("gid", T.LongType()), groups.schema["id"], groups.schema["n"], groups.schema["u"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,17 +261,13 @@ def _deeper(groups: DataFrame, centres: DataFrame, sets: DataFrame, rule: Rule)
                 gid.append(keys.view(np.int64))
                 counts.append(len(keys))
             at = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gid), pa.int64()), batch.column("id").take(at), batch.column("n").take(at)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gid), pa.int64()), *(batch.column(c).take(at) for c in ("id", "n", "u"))], names=[f.name for f in schema])
 
     # one centre for several groups: its members' differences are the same in all of them
-    pairs = groups.join(centres, "gid").where("id <> centre").select("id", "n", "centre", F.xxhash64("centre").alias("salt")).distinct()
+    pairs = groups.join(centres, "gid").where("id <> centre").select("id", "n", "u", "centre", F.xxhash64("centre").alias("salt")).distinct()
     left = sets.select("id", F.col("items").alias("xa"))
     right = sets.select(F.col("id").alias("centre"), F.col("items").alias("xb"))
-    return pairs.join(left, "id").join(right, "centre").select("id", "n", "salt", "xa", "xb").mapInArrow(run, schema).distinct()
-
-
-def _fits(rule: Rule, a: str = "na", b: str = "nb") -> str:
-    return f"100 * least({a}, {b}) >= {rule.percent} * greatest({a}, {b})"
+    return pairs.join(left, "id").join(right, "centre").select("id", "n", "u", "salt", "xa", "xb").mapInArrow(run, schema).distinct()
 
 
 def _can(rule: Rule, n: str, u: str, m: str, v: str) -> str:
@@ -295,10 +291,10 @@ def _own(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _within(groups: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of different components (c) within groups (gid, id, n, c) of at most SMALL members."""
-    few = groups.groupBy("gid").agg(F.collect_list(F.struct("id", "n", "c")).alias("m"))
+    """Pairs (a, b) of different components (c) within groups (gid, id, n, u, c) of at most SMALL members."""
+    few = groups.groupBy("gid").agg(F.collect_list(F.struct("id", "n", "u", "c")).alias("m"))
     first = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-    return first.where(f"x.id < y.id and x.c <> y.c and {_fits(rule, 'x.n', 'y.n')}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return first.where(f"x.id < y.id and x.c <> y.c and {_can(rule, 'x.n', 'x.u', 'y.n', 'y.u')}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def _crossing(groups: DataFrame, rule: Rule) -> DataFrame:
@@ -332,11 +328,13 @@ def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", t
     signed = written(signatures(docs, rule, doc_id, text))
     cls = written(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "sketch", "bands")).alias("x")).select("h1", "h2", "n", "x.*"))
     classes = cls.select("id", "n", "sketch")
-    groups = written(_with_size(cls.select("id", "n", F.explode("bands").alias("gid")).distinct()))
+    groups = written(_with_size(cls.select("id", "n", F.lit(0).cast("long").alias("u"), F.explode("bands").alias("gid")).distinct()))
     kept = [groups]
     sets = written(_sets(docs, groups.select("id").distinct(), rule, doc_id, text))
+    groups = groups.withColumns({"c": F.col("id"), "main": F.col("id"), "outside": F.col("size")})
     found: DataFrame | None = None
     own: DataFrame | None = None
+    waiting: DataFrame | None = None
 
     def settle(pairs: DataFrame) -> DataFrame:
         """The components after the pairs that are linked have been added."""
@@ -344,21 +342,26 @@ def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", t
         links = _linked(ahead, sets, rule)
         if found is not None:
             links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        out = written(components(links))
+        out = components(links)
         dropped(ahead)
-        kept.append(out)
         return out
 
     while True:
+        pairs = _within(groups.where(f"size <= {small}"), rule)
         large = groups.where(f"size > {small}")
-        pairs = _within(_named(groups.where(f"size <= {small}"), found), rule)
+        if found is not None:  # components are known: only what is outside the main one is left
+            pairs = pairs.unionByName(_crossing(large.where(f"outside <= {outside}"), rule))
+            large = large.where(f"outside > {outside}")
+        if waiting is not None:
+            pairs = pairs.unionByName(waiting)
         if large.isEmpty():
             found = settle(pairs)
             break
         # the centre of a group: of its members the one that meets most others
         met = large.groupBy("id").agg(F.sum("size").alias("met"))
-        centres = written(large.join(met, "id").groupBy("gid").agg(F.max(F.struct("met", "id")).alias("x"), F.max_by("n", F.struct("met", "id")).alias("nb")).select("gid", F.col("x.id").alias("centre"), "nb"))
-        star = large.join(centres, "gid").where("id <> centre and " + _fits(rule, "n", "nb"))
+        best = F.max(F.struct("met", "id", "n", "u", "c")).alias("x")
+        centres = written(large.join(met, "id").groupBy("gid").agg(best).select("gid", F.col("x.id").alias("centre"), F.col("x.n").alias("nb"), F.col("x.u").alias("ub"), F.col("x.c").alias("cb")))
+        star = large.join(centres, "gid").where("c <> cb and " + _can(rule, "n", "u", "nb", "ub"))
         found = settle(pairs.unionByName(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))))
         # what is outside each large group's main component, and can be linked at all
         apart = written(_apart(_named(large.select("gid", "id", "n"), found)))
@@ -372,16 +375,14 @@ def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", t
         able = apart.drop("main", "outside").join(sizes, "gid").join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).withColumn("m", F.expr("least(greatest(n - u, low), high)"))
         apart = written(_apart(able.where(_can(rule, "n", "u", "m", "0")).select("gid", "id", "n", "u", "c")))
         kept.append(apart)
-        if apart.isEmpty():
-            break
-        found = settle(_crossing(apart.where(f"outside <= {outside}"), rule))
-        spread = apart.where(f"outside > {outside}").select("gid", "id", "n")
+        waiting = _crossing(apart.where(f"outside <= {outside}"), rule)
+        spread = apart.where(f"outside > {outside}").select("gid", "id", "n", "u")
         if spread.isEmpty():
+            found = settle(waiting)
             break
-        groups = written(_with_size(_deeper(spread, centres.select("gid", "centre"), sets, rule)))
+        deeper = _with_size(_deeper(spread, centres.select("gid", "centre"), sets, rule))
+        groups = written(_apart(_named(deeper, found)))
         kept.append(groups)
-        if groups.isEmpty():
-            break
     named = cls.select("h1", "h2", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
     named = written(named)
     for x in [*kept, sets]:
