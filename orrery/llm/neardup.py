@@ -12,17 +12,11 @@ compared if the two sizes rule a link out or if the joint maximum-likelihood est
 
 * A group of up to SMALL classes proposes all its pairs.
 * A larger one compares each class with its centre, the member that meets most others over all bands. Links so far then
-  give components, and pairs within one component need no test. Groups that are still apart lose the members that can't be
-  linked with any other: shingles that only one of these groups' classes has bound the intersection of every pair it is in
-  from above. The bound is exact, costs one count of shingles, and also drops single pairs. If at most OUTSIDE members
-  are left outside the main component, each of them is paired with every member.
-* If more are outside, differences from the centre tell who can be linked: of two members x and y that are linked,
-  |x ^ y| is small, so that their differences from the centre c, x ^ c and y ^ c, overlap by a known share that grows with
-  their size (1/3 where both are just at the threshold, 0.6 at twice that distance, and so on). Differences are banded with 2,
-  4, 8 or 16 minima by that size, and their groups are treated like the first ones, without the centre. A linked pair
-  whose distances from the centre add up to two thresholds or more misses all these bands with a probability of at most
-  0.002; one of a member just outside the threshold with one very close to the centre can be missed more often. Only groups
-  with over OUTSIDE classes outside get here, and a pair is missed only if that happens in every group they share.
+  give components, and pairs within one component need no test. For members of groups that are still apart an exact prefix
+  filter finds the other pairs: with all shingles of these members in one order, rarest first, two linked sets share a
+  shingle among the first ``n - least intersection + 1`` of each. Of the members that share such a shingle, those outside
+  their largest component are paired with all. Edits of a common text have rare shingles of their own in front, so that
+  near copies that are not linked seldom meet.
 
 Only verified links are kept; components are found by alternating stars. Nothing of the documents is collected: the driver
 gets counts, and a filter of at most FILTER_BITS bits that keeps shingle sets of documents without partner off the shuffle
@@ -40,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,18 +44,16 @@ from .frames import dropped, written
 
 REGISTERS, ROWS = 192, 6
 BASE, TOP = 1.02, 65534
-SMALL, OUTSIDE = 16, 64
-MINIMA, DEEP_BANDS = 192, {2: 64, 4: 48, 8: 48, 16: 48}
+SMALL = 16
 MARGIN = 0.12
 FILTER_BITS = 1 << 28
 
 _rng = np.random.default_rng(41)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_DEEP = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, (REGISTERS // ROWS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: For each number of minima in a band of differences: which ones each band has.
-_CHOSEN = {r: np.concatenate([_rng.permutation(MINIMA).reshape(-1, r) for _ in range(-(-n * r // MINIMA))])[:n] for r, n in DEEP_BANDS.items()}
+
+
 @dataclass(frozen=True)
 class Rule:
     """Link two documents if 100 * |intersection| >= percent * |union| of their sets of ``words``-word shingles."""
@@ -127,33 +119,6 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 
-def differences(p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
-    """Band keys of the differences of set p from set q.
-
-    The number of minima in a band follows from the size of the differences, in units of the most that two linked sets
-    differ by. Sets that can be linked have sizes less than a fifth and one unit apart, so each gets all kinds in that range.
-    """
-    lacks, adds = q[K.in_sorted(q, p) < 0], p[K.in_sorted(p, q) < 0]
-    e = np.concatenate((adds, K.mix(lacks ^ np.uint64(0xD1B54A32D192ED03))))
-    if not len(e):
-        return np.zeros(0, np.int64)
-    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(e), 4096):
-        v = e[a : a + 4096, None] * _DEEP
-        np.minimum(least, (v ^ (v >> np.uint64(29))).min(0), out=least)
-    unit = 2 * len(p) * (100 - percent) / (100 + percent)
-    size = len(e) / max(unit, 0.5)
-    kinds = [min(3, max(0, math.floor(math.log2(max(x, 1))))) for x in (0.8 * size - 1.2, size)]
-    keys = []
-    for kind in range(kinds[0], kinds[1] + 1):
-        parts = least[_CHOSEN[2 << kind]]
-        key = np.arange(len(parts), dtype=np.uint64) + np.uint64(kind * 1000)
-        for j in range(parts.shape[1]):
-            key = K.mix(key ^ parts[:, j])
-        keys.append(key)
-    return np.concatenate(keys).view(np.int64)
-
-
 def signatures(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n, h1, h2 (of the set), sketch and bands of each row; the last two are null for an empty set."""
     fields = [T.StructField("id", docs.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
@@ -249,59 +214,44 @@ def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, schema)
 
 
-def _deeper(groups: DataFrame, centres: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Groups (gid, id, n, u) of the members' differences from their group's centre."""
-    schema = T.StructType([T.StructField("gid", T.LongType()), groups.schema["id"], groups.schema["n"], groups.schema["u"]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gid, counts = [], []
-            for g, x, y in zip(batch.column("salt").to_pylist(), batch.column("xa"), batch.column("xb"), strict=True):
-                keys = K.mix(differences(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), rule.percent).view(np.uint64) ^ np.uint64(g & 0xFFFFFFFFFFFFFFFF))
-                gid.append(keys.view(np.int64))
-                counts.append(len(keys))
-            at = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gid), pa.int64()), *(batch.column(c).take(at) for c in ("id", "n", "u"))], names=[f.name for f in schema])
-
-    # one centre for several groups: its members' differences are the same in all of them
-    pairs = groups.join(centres, "gid").where("id <> centre").select("id", "n", "u", "centre", F.xxhash64("centre").alias("salt")).distinct()
-    left = sets.select("id", F.col("items").alias("xa"))
-    right = sets.select(F.col("id").alias("centre"), F.col("items").alias("xb"))
-    return pairs.join(left, "id").join(right, "centre").select("id", "n", "u", "salt", "xa", "xb").mapInArrow(run, schema).distinct()
-
-
-def _can(rule: Rule, n: str, u: str, m: str, v: str) -> str:
-    """Whether sets of sizes n and m can be linked of which u and v shingles are in no other set."""
-    both = f"least({n} - {u}, {m} - {v})"
-    return f"100 * {both} >= {rule.percent} * ({n} + {m} - {both})"
+def _fits(rule: Rule, a: str, b: str) -> str:
+    return f"100 * least({a}, {b}) >= {rule.percent} * greatest({a}, {b})"
 
 
-def _own(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """id and u: how many of its shingles no other of the members (id) has. Members without any are left out."""
-    schema = T.StructType([sets.schema["id"], T.StructField("x", T.LongType())])
+def _prefixes(apart: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Groups (gid, id, n, c): gid is a shingle among the rarest of id's, of which each linked pair shares one."""
+    schema = T.StructType([sets.schema["id"], *[T.StructField(x, T.LongType()) for x in ("key", "n", "x")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                x = np.frombuffer(batch.column(1)[k].as_buffer(), "<i8")
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(x), k))), pa.array(x)], names=["id", "x"])
+                x = np.frombuffer(batch.column("items")[k].as_buffer(), "<i8")
+                at = pa.array(np.full(len(x), k))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("key").take(at), pa.array(np.full(len(x), len(x))), pa.array(x)], names=[f.name for f in schema])
 
-    items = sets.join(members.distinct(), "id", "left_semi").select("id", "items").mapInArrow(run, schema)
-    return items.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("k")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
+    low = apart.groupBy("gid").agg(F.min("n").alias("low"))
+    members = apart.join(low, "gid").groupBy("id").agg(F.min("low").alias("low"), F.min("c").alias("c"))
+    # a row that repeats an id may have a set of its own: key tells them apart
+    items = sets.join(members, "id", "left_semi").select("id", F.xxhash64("items").alias("key"), "items").mapInArrow(run, schema)
+    items = written(items.distinct())
+    often = items.groupBy("x").agg(F.count("*").alias("f"))
+    least = F.ceil(rule.percent * (F.col("n") + F.greatest("low", F.ceil(rule.percent * F.col("n") / 100))) / (100 + rule.percent))
+    ranked = items.join(often, "x").withColumn("rank", F.row_number().over(Window.partitionBy("id", "key").orderBy("f", "x")))
+    return ranked.where("f > 1").join(members, "id").where(F.col("rank") <= F.col("n") - least + 1).select(F.col("x").alias("gid"), "id", "n", "c")
 
 
 def _within(groups: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of different components (c) within groups (gid, id, n, u, c) of at most SMALL members."""
-    few = groups.groupBy("gid").agg(F.collect_list(F.struct("id", "n", "u", "c")).alias("m"))
+    """All pairs (a, b) within groups (gid, id, n) of at most SMALL members."""
+    few = groups.groupBy("gid").agg(F.collect_list(F.struct("id", "n")).alias("m"))
     first = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-    return first.where(f"x.id < y.id and x.c <> y.c and {_can(rule, 'x.n', 'x.u', 'y.n', 'y.u')}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return first.where(f"x.id < y.id and {_fits(rule, 'x.n', 'y.n')}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def _crossing(groups: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of the members of groups (gid, id, n, u, c, main) that are outside the main component with all others."""
-    out = groups.where("c <> main").select("gid", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("c").alias("ca"))
-    both = out.join(groups.select("gid", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("c").alias("cb")), "gid")
-    return both.where(f"ca <> cb and {_can(rule, 'na', 'ua', 'nb', 'ub')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """Pairs (a, b) of the members of groups (gid, id, n, c, main) that are outside the main component with all others."""
+    out = groups.where("c <> main").select("gid", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    both = out.join(groups.select("gid", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "gid")
+    return both.where(f"ca <> cb and {_fits(rule, 'na', 'nb')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _with_size(members: DataFrame) -> DataFrame:
@@ -309,10 +259,8 @@ def _with_size(members: DataFrame) -> DataFrame:
     return members.join(size, "gid")
 
 
-def _named(groups: DataFrame, found: DataFrame | None) -> DataFrame:
+def _named(groups: DataFrame, found: DataFrame) -> DataFrame:
     """groups with the component c of each member."""
-    if found is None:
-        return groups.withColumn("c", F.col("id"))
     return groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
@@ -323,69 +271,37 @@ def _apart(named: DataFrame) -> DataFrame:
     return named.join(main.select("gid", F.col("x.c").alias("main"), (F.col("all") - F.col("x.k")).alias("outside")).where("outside > 0"), "gid")
 
 
-def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", text: str = "text", small: int = SMALL, outside: int = OUTSIDE) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs. small: groups of up to so many classes propose all pairs. outside: how many outside the main component are paired with all."""
+def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", text: str = "text", small: int = SMALL) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs. small: groups of up to so many classes propose all pairs."""
     signed = written(signatures(docs, rule, doc_id, text))
     cls = written(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "sketch", "bands")).alias("x")).select("h1", "h2", "n", "x.*"))
     classes = cls.select("id", "n", "sketch")
-    groups = written(_with_size(cls.select("id", "n", F.lit(0).cast("long").alias("u"), F.explode("bands").alias("gid")).distinct()))
-    kept = [groups]
+    groups = written(_with_size(cls.select("id", "n", F.explode("bands").alias("gid")).distinct()))
     sets = written(_sets(docs, groups.select("id").distinct(), rule, doc_id, text))
-    groups = groups.withColumns({"c": F.col("id"), "main": F.col("id"), "outside": F.col("size")})
-    found: DataFrame | None = None
-    own: DataFrame | None = None
-    waiting: DataFrame | None = None
+    done = [groups, sets]
 
-    def settle(pairs: DataFrame) -> DataFrame:
-        """The components after the pairs that are linked have been added."""
+    def links(pairs: DataFrame) -> DataFrame:
         ahead = written(_likely(pairs.distinct(), classes, rule))
-        links = _linked(ahead, sets, rule)
-        if found is not None:
-            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        out = components(links)
-        dropped(ahead)
-        return out
-
-    while True:
-        pairs = _within(groups.where(f"size <= {small}"), rule)
-        large = groups.where(f"size > {small}")
-        if found is not None:  # components are known: only what is outside the main one is left
-            pairs = pairs.unionByName(_crossing(large.where(f"outside <= {outside}"), rule))
-            large = large.where(f"outside > {outside}")
-        if waiting is not None:
-            pairs = pairs.unionByName(waiting)
-        if large.isEmpty():
-            found = settle(pairs)
-            break
-        # the centre of a group: of its members the one that meets most others
-        met = large.groupBy("id").agg(F.sum("size").alias("met"))
-        best = F.max(F.struct("met", "id", "n", "u", "c")).alias("x")
-        centres = written(large.join(met, "id").groupBy("gid").agg(best).select("gid", F.col("x.id").alias("centre"), F.col("x.n").alias("nb"), F.col("x.u").alias("ub"), F.col("x.c").alias("cb")))
-        star = large.join(centres, "gid").where("c <> cb and " + _can(rule, "n", "u", "nb", "ub"))
-        found = settle(pairs.unionByName(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))))
-        # what is outside each large group's main component, and can be linked at all
-        apart = written(_apart(_named(large.select("gid", "id", "n"), found)))
-        kept += [centres, apart]
-        if apart.isEmpty():
-            break
-        if own is None:  # later groups have no other members than the first ones
-            own = written(_own(apart.select("id"), sets))
-            kept.append(own)
-        sizes = apart.groupBy("gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        able = apart.drop("main", "outside").join(sizes, "gid").join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).withColumn("m", F.expr("least(greatest(n - u, low), high)"))
-        apart = written(_apart(able.where(_can(rule, "n", "u", "m", "0")).select("gid", "id", "n", "u", "c")))
-        kept.append(apart)
-        waiting = _crossing(apart.where(f"outside <= {outside}"), rule)
-        spread = apart.where(f"outside > {outside}").select("gid", "id", "n", "u")
-        if spread.isEmpty():
-            found = settle(waiting)
-            break
-        deeper = _with_size(_deeper(spread, centres.select("gid", "centre"), sets, rule))
-        groups = written(_apart(_named(deeper, found)))
-        kept.append(groups)
+        done.append(ahead)
+        return _linked(ahead, sets, rule)
+
+    pairs = _within(groups.where(f"size <= {small}"), rule)
+    large = groups.where(f"size > {small}")
+    # the centre of a group: of its members the one that meets most others
+    met = large.groupBy("id").agg(F.sum("size").alias("met"))
+    centres = large.join(met, "id").groupBy("gid").agg(F.max(F.struct("met", "id", "n")).alias("x")).select("gid", F.col("x.id").alias("centre"), F.col("x.n").alias("nb"))
+    star = large.join(centres, "gid").where("id <> centre and " + _fits(rule, "n", "nb"))
+    found = components(links(pairs.unionByName(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))))
+    apart = written(_apart(_named(large.select("gid", "id", "n"), found)))
+    done.append(apart)
+    if not apart.isEmpty():
+        mixed = written(_apart(_prefixes(apart, sets, rule)))
+        done.append(mixed)
+        more = links(_crossing(mixed, rule))
+        found = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = cls.select("h1", "h2", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
     named = written(named)
-    for x in [*kept, sets]:
+    for x in done:
         dropped(x)
     out = signed.select("id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     own = F.coalesce("component", "id")
