@@ -13,8 +13,8 @@ compared if the two sizes rule a link out or if the joint maximum-likelihood est
 * A group of up to SMALL classes proposes all its pairs.
 * A larger one compares each class with its centre, the member that meets most others over all bands. Links so far then
   give components, and pairs within one component need no test. For members of groups that are still apart an exact prefix
-  filter finds the other pairs: with all shingles of these members in one order, rarest first, two linked sets share a
-  shingle among the first ``n - least intersection + 1`` of each. Of the members that share such a shingle, those outside
+  filter finds the other pairs: with all shingles of these members in one order, rarest first, two linked sets share two
+  shingles among the first ``n - least intersection + 2`` of each. Of the members that share such a shingle, those outside
   their largest component are paired with all. Edits of a common text have rare shingles of their own in front, so that
   near copies that are not linked seldom meet.
 
@@ -219,7 +219,7 @@ def _fits(rule: Rule, a: str, b: str) -> str:
 
 
 def _prefixes(apart: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Groups (gid, id, n, c): gid is a shingle among the rarest of id's, of which each linked pair shares one."""
+    """Groups (gid, id, n, c): gid is a shingle among the rarest of id's, of which each linked pair shares two (one, if its intersection is one)."""
     schema = T.StructType([sets.schema["id"], *[T.StructField(x, T.LongType()) for x in ("key", "n", "x")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def _prefixes(apart: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     often = items.groupBy("x").agg(F.count("*").alias("f"))
     least = F.ceil(rule.percent * (F.col("n") + F.greatest("low", F.ceil(rule.percent * F.col("n") / 100))) / (100 + rule.percent))
     ranked = items.join(often, "x").withColumn("rank", F.row_number().over(Window.partitionBy("id", "key").orderBy("f", "x")))
-    return ranked.where("f > 1").join(members, "id").where(F.col("rank") <= F.col("n") - least + 1).select(F.col("x").alias("gid"), "id", "n", "c")
+    return ranked.where("f > 1").join(members, "id").where(F.col("rank") <= F.col("n") - least + 2).select(F.col("x").alias("gid"), "id", "n", "c")
 
 
 def _within(groups: DataFrame, rule: Rule) -> DataFrame:
@@ -250,8 +250,10 @@ def _within(groups: DataFrame, rule: Rule) -> DataFrame:
 def _crossing(groups: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of the members of groups (gid, id, n, c, main) that are outside the main component with all others."""
     out = groups.where("c <> main").select("gid", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    both = out.join(groups.select("gid", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "gid")
-    return both.where(f"ca <> cb and {_fits(rule, 'na', 'nb')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    both = out.join(groups.select("gid", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "main"), "gid")
+    both = both.where(f"ca <> cb and (cb = main or a < b) and {_fits(rule, 'na', 'nb')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("n"))
+    shared = both.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("n").alias("n"))
+    return shared.where(f"k >= least(2, ceil({rule.percent} * n / {100 + rule.percent}))").select("a", "b")
 
 
 def _with_size(members: DataFrame) -> DataFrame:
