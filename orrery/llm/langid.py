@@ -150,12 +150,13 @@ def pooled(m: Model, data: np.ndarray, offsets: np.ndarray, block: int = 2048) -
     row = np.repeat(np.arange(n), count)
     start = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * WIDTH
     total, letters = np.zeros((n, len(m.languages))), np.zeros(n)
-    padded = np.concatenate((data, np.zeros(WIDTH, np.uint8)))
+    base = int(offsets[0])
+    padded = np.concatenate((data[base : int(offsets[-1])], np.zeros(WIDTH, np.uint8)))
     for a in range(0, len(row), block):
         s, r = start[a : a + block], row[a : a + block]
         at = s[None, :] + np.arange(WIDTH)[:, None]
         inside = at < offsets[r + 1][None, :]
-        codes = padded[at]
+        codes = padded[at - base]
         codes[~inside] = 0
         mask = _LETTER[codes]
         p = np.einsum("tln,tn->ln", positions(m, codes), mask.astype(np.float32))
@@ -202,8 +203,11 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", keep:
         m = shared.value
         data, offsets, _ = K.column(batch, text)
         n = len(offsets) - 1
-        points = np.concatenate(([0], np.cumsum((_LETTER[data] & (data < 128)), dtype=np.int64)))
-        lettered = points[offsets[1:]] > points[offsets[:-1]]
+        lettered = np.zeros(n, bool)
+        for a, b in K.chunks(offsets):  # counts take eight times the bytes that they are made from
+            part = data[offsets[a] : offsets[b]]
+            points = np.concatenate(([0], np.cumsum(_LETTER[part] & (part < 128), dtype=np.int64)))
+            lettered[a:b] = np.diff(points[offsets[a : b + 1] - offsets[a]]) > 0
         col = batch.column(batch.schema.get_field_index(text))
         for i in np.flatnonzero(~lettered & (np.diff(offsets) > 0)).tolist():
             lettered[i] = any(c.isalpha() for c in col[i].as_py())
