@@ -181,7 +181,7 @@ def _sample(docs: DataFrame, usable: Column, doc_id: str, text: str, lang: str,
     for r in rows:
         if taken.setdefault(r.l, 0) < per_language:
             taken[r.l] += 1
-            for w in set(r.w):
+            for w in dict.fromkeys(r.w):  # the order of a set differs from run to run
                 raw = w.encode()
                 if raw and _LETTER[np.frombuffer(raw, np.uint8)].any():
                     windows.append(raw)
