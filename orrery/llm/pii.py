@@ -47,8 +47,10 @@ _DIGITS = re.compile(
     r"|(?<![\d])(?P<phone>(?:\+\d{1,3}|00\d{1,3})[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,5}|\(\d{2,5}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)"
     r"|(?<![\d])(?P<card>\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?!\d)"
 )
-_LONG_HEX = re.compile(r"\d[0-9a-fA-F]{12}")
-_THREE = re.compile(r"\d{3}|\d[.\-]\d")
+# gates: each finds something in every text in which the patterns behind it do
+_LONG_HEX = re.compile(r"[0-9a-fA-F]{32}")
+_KEY = re.compile(r"(?:sk|pk|gh[po]|xox[abp]|AKIA|ASIA|AIza)[_-]?[0-9A-Za-z_\-]{12}")
+_NUMBER = re.compile(r"\d{3}|\d[.\-]\d|\+\d|[A-Z]{2}\d\d")
 _ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 _PLACE = {c: (k, i) for k, a in enumerate(_ALPHABETS) for i, c in enumerate(a)}
 ENTITY = T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("surrogate", T.StringType())])
@@ -177,12 +179,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "EMAIL") for m in _EMAIL.finditer(text)]
-    for m in _SECRET.finditer(text) if _any(text.lower(), _CUES) or _LONG_HEX.search(text) else ():
+    for m in _SECRET.finditer(text) if _any(text.casefold(), _CUES) or _KEY.search(text) or _LONG_HEX.search(text) else ():
         for g in ("v", "h", "k"):
             if m[g]:
                 if g != "v" or any(c.isdigit() for c in m[g]):
                     found.append((*m.span(g), "SECRET"))
-    if _THREE.search(text):
+    if _NUMBER.search(text):
         found += [(*m.span(), "IBAN") for m in _IBAN.finditer(text) if _iban_valid(m.group())]
         for m in _DIGITS.finditer(text):
             kind = m.lastgroup
@@ -209,7 +211,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 
 _TITLES = tuple(f"{t}{c}" for t in f"{_HER}|{_HIS}|Dr|Prof".split("|") for c in (" ", ".", "\u00a0"))
-_CUES = ("key", "secret", "token", "passw", "pwd", "auth", "sk_", "sk-", "pk_", "pk-", "ghp", "gho", "xox", "akia", "asia", "aiza")
+_CUES = ("key", "secret", "token", "passw", "pwd", "auth")
 _HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
 
 

@@ -361,6 +361,21 @@ def test_surrogates_are_distinct():
 
 
 # -- op 5
+def test_gates_hide_no_entity(monkeypatch):
+    phones = ["+33 6 12 34 56 78", "+45 12 34 56 78", "+47 22 85 50 50"]
+    keys = ["skA1b2C3d4E5f6G7", "pkabcdefghijklmn", "ghp_ABcdEFghIJkl", "ab" * 16, "F" * 31 + "0"]
+    bare = ["GB82 WEST 12AB 98CD 65", "10.0.0.1", "123-45-6789", "(0221) 1234 5678", "4111 1111 1111 1111", "a@b.org", "Mrs. Anna Weber", "ſecret=abc123", "paſsword: abc123", "2023", "sk", ""]
+    texts = [f"{a}{x}{b}" for x in phones + keys + bare for a, b in (("", ""), ("call ", " now"), ("in 2023 ", "; token"))]
+    gated = [pii.detect(t) for t in texts]
+    for name in ("_NUMBER", "_KEY", "_LONG_HEX"):
+        monkeypatch.setattr(pii, name, re.compile(""))
+    monkeypatch.setattr(pii, "_TITLES", ("",))
+    assert gated == [pii.detect(t) for t in texts]
+    monkeypatch.undo()
+    assert all([k for _, _, k in pii.detect(p)] == ["PHONE"] for p in phones)
+    assert all([k for _, _, k in pii.detect(k)] == ["SECRET"] for k in keys)
+
+
 def test_rollups(spark, tmp_path):
     rows = spark.createDataFrame([("a", "en", "v1", 10, 40), ("a", "en", "v1", 5, 20), (None, None, "v1", 1, 1)], "source string, lang string, tokenizer string, n_tokens long, n_chars long")
     store = tokens.Rollups(spark, f"file://{tmp_path}/store")
