@@ -3,7 +3,8 @@
 The tree builder closes what HTML closes by itself (paragraphs before blocks, list items, table cells and rows, options,
 definition terms), ignores stray end tags and keeps void elements empty. Not visible are head, script, style, template,
 noscript, form controls' values, comments, ``hidden``, ``display:none``, ``visibility:hidden`` (which a descendant may
-undo with ``visibility:visible``) and closed ``details`` but for their summary. Blocks stand on lines of their own,
+undo with ``visibility:visible``), closed ``details`` but for their summary, frames', media's and selections' content, and
+descriptions and definitions in ``svg`` and ``math``, whose texts are given. Blocks stand on lines of their own,
 paragraphs and headings between blank lines; list items get a bullet or their number (``start``, ``value``, ``reversed``)
 and are indented by depth; ``pre`` keeps its white space; ``br`` breaks a line; images give their alternative text. Table
 cells of a row share a line, padded to their column's width (up to PAD characters) and parted by two spaces.
@@ -29,7 +30,9 @@ _words = str.split
 VOID = frozenset(_words("area base br col embed hr img input link meta param source track wbr"))
 BLOCK = frozenset(_words("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody tfoot thead tr ul caption td th"))
 SPACED = frozenset(_words("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl table pre figure hr menu dir"))
-UNSEEN = frozenset(_words("head script style template noscript title meta link base object iframe video audio canvas svg math select textarea datalist option input button-value noframes rp param source track"))
+#: Inside svg and math these hold descriptions and definitions, which are not drawn.
+UNDRAWN = frozenset(_words("desc metadata defs symbol clippath mask pattern lineargradient radialgradient marker filter annotation annotation-xml"))
+UNSEEN = frozenset(_words("head script style template noscript title meta link base object iframe video audio canvas select textarea datalist option input button-value noframes rp param source track"))
 RAW = frozenset(_words("script style textarea title noscript iframe noframes xmp"))
 _CLOSES_P = frozenset(_words("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul"))
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"caption", "colgroup", "tr", "td", "th", "tbody", "thead", "tfoot"}, "tbody": {"caption", "colgroup", "tr", "td", "th", "tbody", "thead", "tfoot"}, "tfoot": {"caption", "colgroup", "tr", "td", "th", "tbody", "thead", "tfoot"}, "rt": {"rt", "rp"}, "rp": {"rt", "rp"}, "body": {"head"}}
@@ -237,6 +240,8 @@ def _render(node: Node, out: _Lines, shown: bool, pre: bool) -> None:
             v = _VISIBILITY.findall(style)
             if v:
                 seen = v[-1].lower() == "visible"
+        if tag in ("svg", "math"):
+            _drawn(kid)
         if tag == "br":
             if not out.now and seen:
                 out._open()
@@ -319,28 +324,65 @@ def _is_mark(lines: list[str], i: int) -> bool:
     return i + 1 < len(lines) and re.match(r"(?:- |\S{1,9}\. )", lines[i + 1]) is not None
 
 
-def _rows(node: Node) -> list[Node]:
-    out = []
+def _drawn(node: Node) -> None:
+    """Takes out of svg or math what is not drawn, at any depth, and parts svg's texts."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        x.kids = [k for k in x.kids if isinstance(k, str) or k.tag not in UNDRAWN]
+        if x.tag == "text":
+            x.kids = [" ", *x.kids, " "]
+        todo += [k for k in x.kids if isinstance(k, Node)]
+
+
+def _parts(node: Node, shown: bool) -> tuple[list[tuple[Node, bool]], list[tuple[Node | str, bool]]]:
+    """Rows and loose children of a table, each with whether it is shown.
+
+    Sections hand on what they hold, and so does any other element around rows, such as a form.
+    """
+    rows, loose = [], []
     for k in node.kids:
-        if isinstance(k, Node) and not ("hidden" in k.attrs or _HIDE.search(k.attrs.get("style", ""))):
+        if isinstance(k, str):
+            loose.append((k, shown))
+        elif k.tag in UNSEEN or "hidden" in k.attrs or _HIDE.search(style := k.attrs.get("style", "")):
+            continue
+        elif k.tag == "tr" or k.tag in ("thead", "tbody", "tfoot", "colgroup", "col") or k.tag != "details" and _holds_rows(k):
+            v = _VISIBILITY.findall(style)
+            seen = v[-1].lower() == "visible" if v else shown
             if k.tag == "tr":
-                out.append(k)
-            elif k.tag in ("thead", "tbody", "tfoot"):
-                out += _rows(k)
-    return out
+                rows.append((k, seen))
+            else:
+                inner = _parts(k, seen)
+                rows += inner[0]
+                loose += inner[1]
+        else:
+            loose.append((k, shown))
+    return rows, loose
+
+
+def _holds_rows(node: Node) -> bool:
+    """Whether rows that belong to the table around node hang below it."""
+    todo = [node]
+    while todo:
+        for k in todo.pop().kids:
+            if isinstance(k, Node) and k.tag != "table":
+                if k.tag == "tr":
+                    return True
+                todo.append(k)
+    return False
 
 
 def _table(node: Node, shown: bool) -> list[str]:
     """Lines of a table: caption, rows with aligned cells, and text that stands between them."""
     loose = _Lines()
-    for k in node.kids:
-        if isinstance(k, str) or k.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            holder = Node("div")
-            holder.kids = [k]
-            _render(holder, loose, shown, False)
+    rows, between = _parts(node, shown)
+    for k, seen in between:
+        holder = Node("div")
+        holder.kids = [k]
+        _render(holder, loose, seen, False)
     loose.end()
     grid: list[list[list[str]]] = []
-    for row in _rows(node):
+    for row, seen in rows:
         cells: list[list[str]] = []
         for k in row.kids:
             inner = _Lines()
@@ -350,14 +392,14 @@ def _table(node: Node, shown: bool) -> list[str]:
                     continue
                 holder.kids, holder.attrs, tag = [k], {}, k.tag
                 k.tag = "div"
-                _render(holder, inner, shown, False)
+                _render(holder, inner, seen, False)
                 k.tag = tag
                 inner.end()
                 cells.append([x for x in inner.lines if x])
                 cells += [[] for _ in range(min(100, (_int(k.attrs.get("colspan")) or 1) - 1))]
             else:
                 holder.kids = [k]
-                _render(holder, inner, shown, False)
+                _render(holder, inner, seen, False)
                 inner.end()
                 if inner.lines:
                     cells.append([x for x in inner.lines if x])

@@ -458,6 +458,21 @@ def test_html(page, text):
     assert html.render(page) == text
 
 
+def test_html_keeps_every_visible_text():
+    pages = [
+        "<table><tbody><form><tr><td>t1<td>t2</tr></form></tbody></table>t3",
+        "<table><tbody>t1<tr><td>t2</td></tr><div>t3</div></tbody><tfoot><p>t4</p></tfoot>t5</table>",
+        "<table><caption>t1</caption><thead><b>t2</b><tr>t3<th>t4</thead><form><tbody><tr><td>t5<table><tr><td>t6</table></form></table>",
+        "<p>t1 <svg><title>no</title><g><text>t2</text><text>t3</text></g><desc>no</desc></svg> <math><mi>t4</mi><annotation>no</annotation></math>",
+        "<table><tr style='visibility:hidden'><td>no<td style='visibility:visible'><b>t1</b></tr><tbody hidden>no<tr><td>no</tbody><details><summary>t2</summary><tr><td>no</details></table>",
+    ]
+    for page in pages:
+        got = html.render(page)
+        assert sorted(re.findall(r"t\d", got)) == sorted(re.findall(r"t\d", re.sub("<[^>]*>", " ", page))) and "no" not in got, page
+    assert html.render(pages[0]) == "t1  t2\n\nt3"
+    assert html.render(pages[3]) == "t1 t2 t3 t4"
+
+
 def test_html_frame(spark):
     rows = spark.createDataFrame([(1, "<p>x", "clash"), (2, None, ""), (3, "y" * 200000, "")], "page_id long, html string, text string")
     got = html.extract(rows).orderBy("page_id").collect()
