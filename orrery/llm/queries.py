@@ -32,9 +32,9 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with a label: a url's last path segment names the document that the page shows, which may have a quality."""
+    """Pages with a label: a url's last path segment, with or without an extension, names the document that the page shows, which may have a quality."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    named = F.regexp_extract(urls.path_of(F.col("url")), r"/(\d{1,18})/?$", 1)
+    named = F.regexp_extract(urls.path_of(F.col("url")), r"/(\d{1,18})(?:\.[A-Za-z][A-Za-z0-9]*)?/?$", 1)
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     return pages.withColumn("doc_id", F.when(named != "", named.cast("long"))).join(labels, "doc_id", "left").select("page_id", "url", "bad")
 

@@ -8,10 +8,11 @@ dates, mixed codes) become wildcards at once. Then, level by level from the root
 
 * generalise: a node with more than FANOUT different children, none of which holds more than SHARE of its urls, gets one
   wildcard child instead;
-* merge: children of a node that have the same kind of children below them (equal bottom-k sketches of their next segments
-  and lengths within similar labelled purity, told by a two-proportion test) become one branch, again a wildcard;
+* merge: children of a node that have the same kind of children below them (equal bottom-k sketches, of SKETCH hashes, of
+  their next segments and similar labelled purity, told by a two-proportion test) become one branch, again a wildcard;
 
-until MAX_DEPTH; deeper segments are one tail. A template is rejected if its labelled urls are bad often enough: the share
+down to the last segment. From level DEEP on, a path with no other beside it is finished at once: nothing could change the
+rest of it. A template is rejected if its labelled urls are bad often enough: the share
 of bad ones, smoothed by the host's own share and that by the whole table's, must reach CUT, with at least MIN_BAD bad ones.
 
 Only sums by host, template and child are shuffled, added up before the shuffle, so a host with a third of all urls costs
@@ -23,17 +24,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import written
 
 FANOUT, SHARE = 20, 0.2
-MAX_DEPTH = 6
+DEEP, SKETCH = 6, 64
 CUT, MIN_BAD, STRENGTH = 0.6, 3, 4.0
 Z_MERGE = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_VARIABLE = r"^(?:\d+|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}|\d{4}-\d{2}-\d{2}|(?=[^/]*\d[^/]*\d[^/]*\d)[A-Za-z0-9_-]{10,})$"
+_VARIABLE = r"^(?:\d+(?:\.[A-Za-z][A-Za-z0-9]*)?|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}|\d{4}-\d{2}-\d{2}|(?=[^/]*\d[^/]*\d[^/]*\d)[A-Za-z0-9_-]{10,})$"
 
 
 @dataclass(frozen=True)
@@ -67,19 +68,26 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def _segments(path: Column) -> Column:
-    """The first MAX_DEPTH segments, variable ones as ``*``, and ``**`` for what is deeper."""
+    """All segments, variable ones as ``*``."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.when(s.rlike(_VARIABLE), "*").otherwise(s))
-    return F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda s: F.when(s.rlike(_VARIABLE), "*").otherwise(s))
+
+
+def _below(tree: DataFrame, level: int) -> DataFrame:
+    """The bottom-k sketch of the next segments of each (host, template, child): the least hashes, in order."""
+    at = ["host", "template", "child"]
+    hashes = tree.where("child <> ''").select(*at, F.xxhash64(F.coalesce(F.get("segs", F.lit(level + 1)), F.lit(""))).alias("h")).distinct()
+    least = hashes.withColumn("i", F.row_number().over(Window.partitionBy(*at).orderBy("h"))).where(F.col("i") <= SKETCH)
+    return least.groupBy(*at).agg(F.array_sort(F.collect_list("h")).alias("below"))
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """host, segs, template of each distinct (host, segs) of urls (host, segs, n, good, bad)."""
-    tree = urls.withColumn("template", F.lit(""))
-    for level in range(MAX_DEPTH):
+    tree, done, level = urls.withColumn("template", F.lit("")), [], 0
+    while True:
         child = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
         tree = tree.withColumn("child", child)
-        kids = tree.where("child <> ''").groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.array_sort(F.collect_set(F.pmod(F.xxhash64(F.coalesce(F.get("segs", F.lit(level + 1)), F.lit(""))), F.lit(64)))).alias("below"))
+        kids = tree.where("child <> ''").groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).join(_below(tree, level), ["host", "template", "child"])
         # merge: siblings with the same kinds of children and no significant difference in purity
         alike = kids.where("child <> '*'").groupBy("host", "template", "below").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.max("n").alias("most"))
         spread = F.sqrt(F.greatest((F.col("b") + 1) * (F.col("g") + 1) / F.pow(F.col("b") + F.col("g") + 2, 2) / F.greatest(F.col("good") + F.col("bad"), F.lit(1)), F.lit(1e-9)))
@@ -90,10 +98,18 @@ def templates(urls: DataFrame) -> DataFrame:
         tree = tree.join(general, ["host", "template"], "left").join(merged, ["host", "template", "child"], "left")
         named = F.when(F.col("child") == "", F.lit("")).when(F.coalesce("general", "merged", F.lit(False)), F.lit("/*")).otherwise(F.concat(F.lit("/"), "child"))
         tree = written(tree.withColumn("template", F.concat("template", named)).select("host", "segs", "n", "good", "bad", "template"))
-        if tree.where(F.size("segs") > level + 1).isEmpty():
+        level += 1
+        if level >= DEEP:
+            deeper = tree.where(F.size("segs") > level)
+            alone = deeper.groupBy("host", "template").agg(F.count("*").alias("k")).where("k = 1").drop("k")
+            rest = F.concat("template", F.lit("/"), F.array_join(F.slice("segs", level + 1, F.size("segs")), "/"))
+            done += [tree.where(F.size("segs") <= level), deeper.join(alone, ["host", "template"]).withColumn("template", rest).select(tree.columns)]
+            tree = written(deeper.join(alone, ["host", "template"], "left_anti").select(tree.columns))
+        if tree.where(F.size("segs") > level).isEmpty():
             break
-    tail = F.when(F.size("segs") > MAX_DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return tree.withColumn("template", tail)
+    for part in done:
+        tree = tree.unionByName(part)
+    return tree
 
 
 def judge(pages: DataFrame, rules: list[Rule], *, url: str = "url", bad: Column | None = None) -> DataFrame:

@@ -433,6 +433,35 @@ def test_url_templates(spark):
     assert urls.judge(spark.createDataFrame([], "url string"), RULES).count() == 0
 
 
+def test_url_labels_and_variables_with_extensions(spark, tmp_path):
+    from orrery.llm.queries import bad_pages
+
+    links = [f"http://h.org/x/{i}{end}" for i, end in enumerate(["", ".html", "/", ".html/", ".mp4", "-a.html"])]
+    spark.createDataFrame(list(enumerate(links)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.page_id: r.bad for r in bad_pages(spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: True, 5: None}
+    found = {r.url: r.template for r in urls.judge(spark.createDataFrame([(x,) for x in links], "url string"), []).collect()}
+    assert [found[x] for x in links] == ["/x/*"] * 5 + ["/x/5-a.html"]
+
+
+def test_url_templates_of_deep_paths(spark):
+    head = "http://h.org/a/b/c/d/e/f"
+    rows = [(f"{head}/{side}/g/p{i}.x", side == "bad") for side in ("bad", "good") for i in range(30)] + [(f"{head}/alone/12/" + "z/" * 200, None)]
+    got = urls.judge(spark.createDataFrame(rows, "url string, bad boolean"), [], bad=F.col("bad")).collect()
+    assert len(got) == 61
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.template].add((r.bad, r.verdict))
+    assert by == {"/a/b/c/d/e/f/bad/g/*": {(True, "block")}, "/a/b/c/d/e/f/good/g/*": {(False, "allow")}, "/a/b/c/d/e/f/alone/*" + "/z" * 200: {(None, "allow")}}
+
+
+def test_url_sketches_tell_large_nodes_apart(spark):
+    rows = [("h", [f"p{k}", f"c{k}_{i}"], 1, 0, 0) for k in range(3) for i in range(900)]
+    got = urls.templates(spark.createDataFrame(rows, "host string, segs array<string>, n long, good long, bad long"))
+    assert {r.template for r in got.collect()} == {f"/p{k}/*" for k in range(3)}
+
+
 # -- op 1
 @pytest.mark.parametrize(
     "page,text",
