@@ -121,8 +121,7 @@ class Validator:
         for kind, iri in shape.targets:
             q = self.quads
             if kind == "Class":
-                sub = self._subclasses(iri)
-                parts.append(q.where((q["p"] == A.RDF + "type") & q["o"]["lex"].isin(sub)).select(F.col("s").alias("f")))
+                parts.append(self._instances(iri).select(F.col("s").alias("f")))
             elif kind == "Node":
                 parts.append(self.spark.range(1).select(V.struct(0, F.lit(iri)).alias("f")))
             else:
@@ -134,14 +133,16 @@ class Validator:
             out = out.unionByName(p)
         return out.distinct()
 
-    def _subclasses(self, iri: str) -> list[str]:
-        known, todo = {iri}, {iri}
-        while todo:
-            q = self.quads
-            rows = q.where((q["p"] == A.RDFS + "subClassOf") & q["o"]["lex"].isin(list(todo))).select("s.lex").distinct().limit(10_000).collect()
-            todo = {r.lex for r in rows} - known
-            known |= todo
-        return sorted(known)
+    def _instances(self, iri: str) -> DataFrame:
+        """Subjects (s) of the types iri and its subclasses at any depth."""
+        from .paths import transitive
+
+        q = self.quads
+        edges = q.where(q["p"] == A.RDFS + "subClassOf").select(q["s"]["lex"].alias("s"), q["o"]["lex"].alias("o"))
+        known = transitive(edges, end=F.lit(iri), max_depth=0).select(F.col("s").alias("c"))
+        known = known.unionByName(self.spark.range(1).select(F.lit(iri).alias("c"))).distinct()
+        typed = q.where(q["p"] == A.RDF + "type").select("s", q["o"]["lex"].alias("c"))
+        return typed.join(known, "c", "left_semi").select("s")
 
     def values(self, path: Any, focus: DataFrame) -> DataFrame:
         """(f, v) of the path's distinct values."""
@@ -211,7 +212,7 @@ class Validator:
             cast = {"integer": "bigint", "decimal": "decimal(38,18)", "double": "double", "date": "date", "dateTime": "timestamp"}.get(iri.removeprefix(A.XSD))
             bad(values.where(~(ok & v["lex"].try_cast(cast).isNotNull() if cast else ok)), kind)
         elif kind == "class":
-            typed = self.quads.where((F.col("p") == A.RDF + "type") & F.col("o.lex").isin(self._subclasses(iri))).select(F.col("s").alias("v"))
+            typed = self._instances(iri).select(F.col("s").alias("v"))
             bad(values.join(typed, "v", "left_anti"), kind)
         elif kind == "nodeKind":
             kinds = {"IRI": [0], "BlankNode": [1], "Literal": [2], "BlankNodeOrIRI": [0, 1], "BlankNodeOrLiteral": [1, 2], "IRIOrLiteral": [0, 2]}[iri.removeprefix(SH)]

@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import similarity as S
+from orrery.functions import values as V
 from orrery.operators import datalog as D
 from orrery.operators import graph as G
 from orrery.operators import resolution as R
 from orrery.operators import temporal as T
 from orrery.operators.shacl import Validator, parse_shapes
+from orrery.plans import algebra as A
 from orrery.sources.quads import QuadStore
 from orrery.streaming import views
 
@@ -93,6 +95,22 @@ def test_shapes(spark):
     assert Validator(s, rule).apply_rules() == 1 and s.ask("ASK { :p2 :friend :p1 }")
 
 
+def test_shapes_of_many_subclasses(spark):
+    n = 10_050
+    iri = lambda text: V.struct(0, text)
+    x, rdf, sub = F.lit("http://x/"), F.lit(A.RDF + "type"), F.lit(A.RDFS + "subClassOf")
+    i = spark.range(n).withColumn("i", F.col("id").cast("string"))
+    fact = lambda df, s, p, o: df.select(iri(s).alias("s"), p.alias("p"), iri(o).alias("o"), F.lit("").alias("g"))
+    cls, deep, thing = F.concat(x, F.lit("C"), "i"), F.concat(x, F.lit("D"), "i"), F.concat(x, F.lit("t"), "i")
+    one = spark.range(1)
+    facts = fact(i, cls, sub, F.concat(x, F.lit("Top"))).unionByName(fact(i, deep, sub, cls)).unionByName(fact(i, thing, rdf, deep)).unionByName(fact(i, F.concat(x, F.lit("box")), F.lit("http://x/has"), thing))
+    facts = facts.unionByName(fact(one, F.lit("http://x/Top"), sub, F.lit("http://x/C0"))).unionByName(fact(one, F.lit("http://x/box"), F.lit("http://x/has"), F.lit("http://x/other")))
+    ttl = """@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix : <http://x/> . :S sh:targetClass :Top ; sh:property [ sh:path :name ; sh:minCount 1 ] .
+      :B sh:targetNode :box ; sh:property [ sh:path :has ; sh:class :Top ] ."""
+    got = {r.constraint: r.n for r in Validator(QuadStore(spark, facts), parse_shapes(ttl)).report().groupBy("constraint").agg(F.count("*").alias("n")).collect()}
+    assert got == {"minCount": n, "class": 1}
+
+
 def test_graphs(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("x", "y")], "s string, o string")
     pr = {r.node: r.score for r in G.pagerank(e, tolerance=1e-10).collect()}
