@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .lineage import written
+
+#: Rows of a block that meet in one task, and of a block of vectors.
+CELL = 512
 
 _STOP = "a an and are as at be by for from has he in is it its of on that the to was were will with".split()
 
@@ -64,14 +68,21 @@ def hashed_embedding(text: Column, dims: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.transform(t, lambda w: F.when(slot(w) == i, sign(w)).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v))
 
 
-def blocked_pairs(rows: DataFrame, id_col: str, block: Column, *, window: int = 50) -> DataFrame:
-    """Candidate pairs (a, b): rows of one block, at most ``window`` places apart in the order of their ids.
+def blocked_pairs(rows: DataFrame, id_col: str, block: Column, *, window: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b): all of one block, or with ``window`` only those at most so many places apart in the order of ids.
 
-    Blocks are salted by place, so that a large block is spread over tasks and proposes window pairs for each row, not all.
+    Blocks are salted, so that a large block is spread over tasks. All pairs grow with the square of a block's size: where
+    blocks are large and the score is a similarity of tokens, ``similar_links`` proposes far fewer and loses none.
     """
     from pyspark.sql import Window
 
     keyed = rows.select(F.col(id_col).alias("id"), block.alias("k")).where("k is not null").distinct()
+    if window is None:
+        cells = F.ceil(F.col("m") / CELL)
+        n = keyed.join(keyed.groupBy("k").agg(F.count("*").alias("m")), "k")
+        a = n.select(F.col("id").alias("a"), "k", F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1)).alias("c"))
+        b = n.select(F.col("id").alias("b"), "k", F.pmod(F.xxhash64("id"), cells).alias("c"))
+        return a.join(b, ["k", "c"]).where("a < b").select("a", "b")
     n = keyed.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")))
     cell = F.floor(F.col("n") / window)
     a = n.select(F.col("id").alias("a"), "k", F.col("n").alias("na"), F.explode(F.array(cell, cell + 1)).alias("c"))
@@ -79,6 +90,31 @@ def blocked_pairs(rows: DataFrame, id_col: str, block: Column, *, window: int =
     return a.join(b, ["k", "c"]).where(f"na < nb and nb - na <= {window}").select("a", "b").distinct()
 
 
+def similar_links(rows: DataFrame, id_col: str, block: Column, tokens: Column, percent: int) -> DataFrame:
+    """(a, b, score): pairs of a block whose token sets have a Jaccard similarity of at least ``percent`` hundredths.
+
+    Rows with equal sets are linked to the least id of them, which alone is compared with other sets; so components are those
+    of all pairs. Two sets that are similar enough share one of their rarest tokens (prefix filter), hence none is lost. Empty
+    sets are similar to nothing.
+    """
+    keyed = rows.select(F.col(id_col).alias("id"), block.alias("k"), F.array_sort(F.array_distinct(F.array_compact(tokens))).alias("t")).where("k is not null and size(t) > 0").distinct()
+    sets = written(keyed.groupBy("k", "t").agg(F.min("id").alias("id")))
+    equal = keyed.join(sets.withColumnRenamed("id", "a"), ["k", "t"]).where("a <> id").select("a", F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    each = sets.select("k", "id", F.explode("t").alias("w"))
+    ranked = each.join(each.groupBy("k", "w").agg(F.count("*").alias("f")), ["k", "w"])
+    ordered = ranked.groupBy("k", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("t"))
+    n = F.size("t")
+    # n - ceil(n * percent / 100) + 1 in whole numbers
+    ordered = written(ordered.withColumn("head", F.slice("t", 1, n - F.floor((n * percent + 99) / F.lit(100)).cast("int") + 1)))
+    heads = ordered.select("k", "id", F.explode("head").alias("w"), F.size("t").alias("n"))
+    a, b = (heads.select("k", "w", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = a.join(b, ["k", "w"]).where(f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("k", "a", "b").distinct()
+    for x in "ab":
+        pairs = pairs.join(ordered.select("k", F.col("id").alias(x), F.col("t").alias(f"t{x}")), ["k", x])
+    both, either = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
+    return equal.unionByName(pairs.where(both * 100 >= either * percent).select("a", "b", (both / either).alias("score")))
+
+
 def resolve(pairs: DataFrame, score: Column, threshold: float) -> DataFrame:
     """(node, component) of the pairs (a, b, ...) that reach the threshold."""
     return components(pairs.where(score >= threshold).select(F.col("a").alias("s"), F.col("b").alias("o")))

@@ -394,6 +394,12 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.resolve(pairs, F.lit(1.0), 0.5)
 
 
+@query("entity_resolution_scored", "WITH RECURSIVE p AS (SELECT p_partkey AS k, p_brand AS b, list_distinct(str_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part), e AS (SELECT x.k AS s, y.k AS o FROM p x JOIN p y ON x.b = y.b AND x.k <> y.k AND 100 * len(list_intersect(x.t, y.t)) >= 80 * len(list_distinct(list_concat(x.t, y.t)))), t(node, m) AS (SELECT s, s FROM e UNION SELECT e.o, t.m FROM t JOIN e ON e.s = t.node) SELECT node, MIN(m) AS component FROM t GROUP BY node")
+def entity_resolution_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")
+    return R.resolve(R.similar_links(read(spark, sf_dir, "part"), "p_partkey", F.col("p_brand"), words, 80), F.col("score"), 0.8)
+
+
 @query("bloom_dice", "SELECT 25::BIGINT AS n, true AS equal_is_one")
 def bloom_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.similarity import dice

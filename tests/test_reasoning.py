@@ -162,6 +162,32 @@ def test_resolution(spark):
     assert set(e) == set("abcd") and set(r) == {"p"}
 
 
+def test_resolution_of_large_blocks(spark):
+    rows = spark.createDataFrame([(i, "same name" if i in (1, 1000) else f"n{i} m{i}") for i in range(1, 1201)], "id long, name string")
+    assert R.blocked_pairs(rows, "id", F.lit("hot")).count() == 1200 * 1199 // 2
+    names = [f"a b c d e{i % 40} f{i % 7}" for i in range(300)] + ["", None, "lone"]
+    some = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    for df, percent in ((rows, 90), (some, 66), (some, 80), (some, 100)):
+        found = R.similar_links(df, "id", F.lit("hot"), F.split("name", " "), percent)
+        got = {(r.node, r.component) for r in R.resolve(found, F.col("score"), percent / 100).collect()}
+        sets = {r.id: frozenset(r.name.split(" ")) for r in df.collect() if r.name is not None}
+        boss = {i: i for i in sets}
+
+        def top(i, boss=boss):
+            while boss[i] != i:
+                i = boss[i]
+            return i
+
+        linked = set()
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if i < j and 100 * len(x & y) >= percent * len(x | y):
+                    linked |= {i, j}
+                    a, b = sorted((top(i), top(j)))
+                    boss[b] = a
+        assert got == {(i, top(i)) for i in linked}
+
+
 def test_views(spark):
     s = store_of(spark, ":a :in :r . :b :in :r .")
     view = views.sparql_view(s, "v1", "SELECT ?x WHERE { ?x :in :r }")
