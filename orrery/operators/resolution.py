@@ -51,6 +51,49 @@ def nearest(rows: DataFrame, vector: str, query: list[float], k: int, id_col: st
     return rows.withColumn("similarity", cosine(F.col(vector), q)).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def nearest_of_each(rows: DataFrame, vector: str, queries: DataFrame, k: int, id_col: str) -> DataFrame:
+    """(query, id, similarity): for each of queries the k rows whose vectors are most similar, by an exact scan.
+
+    Blocks of about CELL queries meet blocks of about 8 * CELL rows; each meeting keeps k rows of each query, then these are
+    merged. Similarities are compared to 12 digits, equal ones by id; null ones (zero or no vector) come last.
+    """
+    from pyspark.sql import Window
+
+    def dealt(df: DataFrame, size: int) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // size))
+        return df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("own")), n
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    (q, nq), (r, nr) = dealt(queries, CELL), dealt(rows, 8 * CELL)
+    q, r = q.select("id", "v", F.col("own").alias("i"), every(nr).alias("j")), r.select("id", "v", every(nq).alias("i"), F.col("own").alias("j"))
+
+    def unit(vs: pd.Series) -> np.ndarray:
+        dims = max((len(v) for v in vs if v is not None), default=0)
+        m = np.array([v if v is not None and len(v) == dims else np.full(dims, np.nan) for v in vs], dtype="float64").reshape(len(vs), dims)
+        norm = np.sqrt((m**2).sum(1, keepdims=True))
+        return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+
+    def met(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = {"query": [], "id": [], "similarity": []}
+        if len(x) and len(y):
+            y = y.sort_values("id")
+            s = np.round(unit(x["v"]) @ unit(y["v"]).T, 12)
+            ids = y["id"].to_numpy()
+            for name, line in zip(x["id"], s, strict=True):
+                best = np.argsort(np.where(np.isnan(line), np.inf, -line), kind="stable")[:k]
+                out["query"] += [name] * len(best)
+                out["id"] += ids[best].tolist()
+                out["similarity"] += [None if np.isnan(z) else z for z in line[best]]
+        return pd.DataFrame(out)
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    found = q.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInPandas(met, f"query {kind}, id {kind}, similarity double")
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("similarity"), "id")))
+    return best.where(F.col("n") <= k).drop("n")
+
+
 def fused(rankings: list[tuple[DataFrame, float]], id_col: str, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of rankings (id, rank from 1), each with a weight."""
     parts = [r.select(id_col, (F.lit(w) / (k + F.col("rank"))).alias("part")) for r, w in rankings]

@@ -367,6 +367,12 @@ def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.nearest(e, "embedding", q, 20, "vec_id").select("vec_id", "similarity"), 4)
 
 
+@query("cosine_top_k_of_each", "SELECT query, id, ROUND(similarity, 4) AS similarity FROM (SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity, ROW_NUMBER() OVER (PARTITION BY q.vec_id ORDER BY ROUND(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, v.vec_id) AS n FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) WHERE n <= 20")
+def cosine_top_k_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return rounded(R.nearest_of_each(e, "embedding", e.where("vec_id % 20 = 0"), 20, "vec_id"), 4)
+
+
 @query("rank_fusion", "WITH a AS (SELECT c_custkey AS id, ROW_NUMBER() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer), b AS (SELECT o_custkey AS id, ROW_NUMBER() OVER (ORDER BY SUM(o_totalprice) DESC, o_custkey) AS rank FROM orders GROUP BY 1) SELECT id, ROUND(SUM(p), 6) AS score FROM (SELECT id, 0.5 / (60 + rank) AS p FROM a WHERE rank <= 100 UNION ALL SELECT id, 0.5 / (60 + rank) FROM b WHERE rank <= 100) GROUP BY id")
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window

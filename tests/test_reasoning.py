@@ -188,6 +188,21 @@ def test_resolution_of_large_blocks(spark):
         assert got == {(i, top(i)) for i in linked}
 
 
+def test_nearest_of_each(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(R, "CELL", 4)
+    m = np.random.default_rng(1).normal(size=(100, 8)).round(2)
+    m[7] = m[40]
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(100, [0.0] * 8)], "id long, v array<double>")
+    got = {(r["query"], r.id): r.similarity for r in R.nearest_of_each(rows, "v", rows.where("id % 5 = 0"), 6, "id").collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for i in range(0, 100, 5):
+        line = np.round(u @ u[i], 12)
+        assert {j for q, j in got if q == i} == set(sorted(range(100), key=lambda j: (-line[j], j))[:6])
+    assert {j for q, j in got if q == 100} == set(range(6)) and len(got) == 21 * 6
+
+
 def test_views(spark):
     s = store_of(spark, ":a :in :r . :b :in :r .")
     view = views.sparql_view(s, "v1", "SELECT ?x WHERE { ?x :in :r }")
