@@ -306,14 +306,16 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- graphs
-def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from customers' to suppliers' nations."""
+def trade(spark: SparkSession, sf_dir: str, *, whole: bool = False) -> DataFrame:
+    """Edges from customers' to suppliers' nations: of all lineitems, or of those that the SQL in ``_TRADE`` leaves."""
     c, o, x, s = (read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "supplier"))
     j = x.join(o, x["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, x["l_suppkey"] == s["s_suppkey"])
-    return j.where("l_quantity > 45 and c_nationkey % 5 <> 0").select(F.col("c_nationkey").cast("bigint").alias("s"), F.col("s_nationkey").cast("bigint").alias("o")).distinct()
+    j = j if whole else j.where("l_quantity > 45 and c_nationkey % 5 <> 0")
+    return j.select(F.col("c_nationkey").cast("bigint").alias("s"), F.col("s_nationkey").cast("bigint").alias("o")).distinct()
 
 
 _TRADE = "e AS (SELECT DISTINCT c_nationkey::BIGINT AS s, s_nationkey::BIGINT AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45 AND c_nationkey % 5 <> 0)"
+_ALL_TRADE = "e AS (SELECT DISTINCT c_nationkey::BIGINT AS s, s_nationkey::BIGINT AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
 _RANK = ", r{i} AS (SELECT n.node, 0.15 / (SELECT COUNT(*) FROM nodes) + 0.85 * (COALESCE(SUM(r.score / d.k), 0) + (SELECT COALESCE(SUM(score), 0) FROM r{j} WHERE node NOT IN (SELECT s FROM d)) / (SELECT COUNT(*) FROM nodes)) AS score FROM nodes n LEFT JOIN e ON e.o = n.node LEFT JOIN r{j} r ON r.node = e.s LEFT JOIN d ON d.s = e.s GROUP BY n.node)"
 
 
@@ -337,6 +339,26 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.triangles(trade(spark, sf_dir))
 
 
+@query("pagerank_fixed_all", f"WITH {_ALL_TRADE}, nodes AS (SELECT s AS node FROM e UNION SELECT o FROM e), d AS (SELECT s, COUNT(*) AS k FROM e GROUP BY s), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT COUNT(*) FROM nodes) AS score FROM nodes)" + "".join(_RANK.format(i=i, j=i - 1) for i in range(1, 9)) + " SELECT node, ROUND(score, 6) AS score FROM r8")
+def pagerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.pagerank(trade(spark, sf_dir, whole=True), max_rounds=8, tolerance=0), 6)
+
+
+@query("centrality_degrees_all", f"WITH {_ALL_TRADE}, n AS (SELECT s AS node FROM e UNION ALL SELECT o FROM e) SELECT node, ROUND(COUNT(*)::DOUBLE / (SELECT COUNT(*) FROM n), 6) AS score FROM n GROUP BY node")
+def centrality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.centrality(trade(spark, sf_dir, whole=True), "share"), 6)
+
+
+@query("connected_components_all", f"WITH RECURSIVE {_ALL_TRADE}, b AS (SELECT s, o FROM e UNION SELECT o, s FROM e), t(node, m) AS (SELECT s, s FROM b UNION SELECT b.o, t.m FROM t JOIN b ON b.s = t.node) SELECT node, MIN(m) AS component FROM t GROUP BY node")
+def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.components(trade(spark, sf_dir, whole=True))
+
+
+@query("triangles_all", f"WITH {_ALL_TRADE}, u AS (SELECT DISTINCT LEAST(s, o) AS a, GREATEST(s, o) AS b FROM e WHERE s <> o) SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
+def triangles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.triangles(trade(spark, sf_dir, whole=True))
+
+
 @query("skos_hierarchy", "SELECT u.node, u.depth FROM nation, LATERAL (VALUES ('urn:region:' || n_regionkey, 2), ('urn:nation:' || n_nationkey, 1)) u(node, depth) WHERE n_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 11)")
 def skos(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = flat(places(spark, sf_dir).where("p = 'urn:in'")).select("s", "o")
