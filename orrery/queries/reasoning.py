@@ -241,6 +241,13 @@ def export_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ntriples_lines(places(spark, sf_dir).where("s.lex like 'urn:nation:%'"))
 
 
+@query("export_ntriples_all", "SELECT '<urn:nation:' || n_nationkey || '> <urn:in> <urn:region:' || n_regionkey || '> .' AS value FROM nation UNION ALL SELECT '<urn:customer:' || c_custkey || '> <urn:in> <urn:nation:' || c_nationkey || '> .' FROM customer UNION ALL SELECT '<urn:supplier:' || s_suppkey || '> <urn:in> <urn:nation:' || s_nationkey || '> .' FROM supplier")
+def export_ntriples_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.rdf import ntriples_lines
+
+    return ntriples_lines(places(spark, sf_dir))
+
+
 @query("json_to_triples", "SELECT 'urn:events:' || event_id AS s, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.explode("m").alias("key", "v"))
