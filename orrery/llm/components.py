@@ -49,7 +49,8 @@ def _blocks(edges: DataFrame, blocks: int) -> DataFrame:
         apart = nodes != least
         yield pa.RecordBatch.from_arrays([pa.array(nodes[apart], parts[0].schema.types[0]), pa.array(least[apart], parts[0].schema.types[0])], names=["u", "v"])
 
-    return edges.repartition(blocks, "u").mapInArrow(run, schema)
+    dealt = edges.repartition(blocks, "u") if blocks > 1 else edges.repartition(1)
+    return dealt.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, *, block_edges: int = BLOCK_EDGES) -> DataFrame:

@@ -28,6 +28,8 @@ from .wordbpe import encoder
 CAPACITY = 2048
 GROUP = 32_768
 END_ID = 0
+#: Characters that are encoded at once; a longer text is encoded by itself.
+BLOCK_CHARS = 1 << 19
 PIECES = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
 
 
@@ -44,7 +46,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text:
             total = np.concatenate(([0], np.cumsum(size)))
             a = 0
             while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(total, total[a] + (1 << 21), "right")) - 1)
+                b = max(a + 1, int(np.searchsorted(total, total[a] + BLOCK_CHARS, "right")) - 1)
                 yield pieces(keys.slice(a, b - a), [t or "" for t in texts[a:b]], code)
                 a = b
 

@@ -1,7 +1,7 @@
 """Vectorised text primitives shared by the operators of this subpackage.
 
-Texts arrive as Arrow string columns. Words are cut and hashed on the UTF-8 bytes with numpy, in blocks of a few
-megabytes, so that memory is bounded by the longest single text. Hashes are 64-bit and the same on every machine: all
+Texts arrive as Arrow string columns. Words are cut and hashed on the UTF-8 bytes with numpy, in blocks of half a
+megabyte, so that memory is bounded by the longest single text. Hashes are 64-bit and the same on every machine: all
 tables below come from a fixed seed.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 _LONG = 1 << 12
 
 _rng = np.random.default_rng(20240229)

@@ -257,6 +257,38 @@ def test_components(spark, block):
     assert {tuple(r) for r in components(words, block_edges=block).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("z", "z"), ("é", "z")}
 
 
+@pytest.mark.parametrize("kind", ["deleted", "cut", "shared"])
+def test_near_duplicates_by_kinds_of_edits(spark, kind):
+    """Large groups of words left out, of ends cut off and of edits that several texts share."""
+    rng = np.random.default_rng(len(kind))
+    base = prose(61, 160).split()
+    texts = [" ".join(base)]
+    for i in range(70):
+        if kind == "deleted":
+            texts.append(" ".join(w for w in base if rng.random() > 0.002 * i))
+        elif kind == "cut":
+            texts.append(" ".join(base[: 160 - 2 * i]))
+        else:
+            words = list(base)
+            for at in rng.integers(0, 20, rng.integers(0, 12)):
+                words[at * 7] = f"s{at}"
+            texts.append(" ".join(words))
+    got = neardup.groups_of(docs_of(spark, texts), neardup.Rule(3, 85), small=2).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == brute_groups(texts, 3, 85)
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows of one id are one document, whose groups are joined; null ids are in no group."""
+    a, b, c = prose(71, 60), prose(72, 60), prose(73, 60)
+    rows = [(5, a), (5, b), (3, a), (7, b), (9, b + " tail"), (5, None), (5, a), (11, c), (11, ""), (12, c + " x"), (None, a), (None, None), (20, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.groups_of(docs, neardup.Rule(3, 85)).collect()
+    assert len(got) == len(rows)
+    want = {3: 3, 5: 3, 7: 3, 9: 3, 11: 11, 12: 11, 20: 20}
+    assert all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id]) for r in got if r.doc_id is not None)
+    assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.groups_of(docs_of(spark, ["a"]).limit(0)).count() == 0
     rows = neardup.groups_of(docs_of(spark, [None, "", "  "])).collect()
