@@ -8,8 +8,9 @@ around it, which must be equal under two 64-bit hashes. Items shorter than a win
 The benchmark's index is broadcast in blocks of at most ``block_words`` words, read one after the other. Each block is one
 more pass over the batch in the same map stage, so documents are never shuffled, whatever the benchmark's size.
 
-Nulls and empty texts have no words; null items and items without words are no windows. Repeated documents are each
-judged alone; repeated items count once for each item_id. Item ids may be of any type and are compared as strings.
+Nulls and empty texts have no words; items with a null text or without words are no windows. An item whose id is null has
+windows like any other, which count as hits, but no id to be told. Repeated documents are each judged alone; repeated items
+count once for each item_id. Item ids may be of any type and are compared as strings.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def winnow(hashes: np.ndarray, rows: np.ndarray, k: int, w: int) -> tuple[np.nda
 class Index:
     """Fingerprints and windows of one block of the benchmark."""
 
-    def __init__(self, ids: list[str], texts: list[str], window: int):
+    def __init__(self, ids: list[str | None], texts: list[str], window: int):
         self.window, self.k = window, max(1, window // 2)
         self.w = window - self.k + 1
         col = pa.record_batch([pa.array(texts, pa.string())], ["t"])
@@ -125,10 +126,10 @@ def hits(h: np.ndarray, rows: np.ndarray, index: Index) -> Iterator[tuple[np.nda
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> Iterator[Index]:
-    ids: list[str] = []
+    ids: list[str | None] = []
     texts: list[str] = []
     size = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     for r in rows.toLocalIterator():
         ids.append(r.i)
         texts.append(r.t)
@@ -165,13 +166,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                     np.add.at(edge, start + width, -1)
                     ids = block.value.ids
                     for x, y in zip(r.tolist(), i.tolist(), strict=True):
-                        items[x].add(ids[y])
+                        if ids[y] is not None:
+                            items[x].add(ids[y])
             hit = np.cumsum(edge[:-1]) > 0
             n_words.append(total)
             n_hit.append(np.bincount(rows[hit], minlength=n))
+            any_hit = n_hit[-1] > 0
             first = np.concatenate(([0], np.cumsum(total)))
             for x in range(n):
-                if items[x]:
+                if any_hit[x]:
                     change = np.flatnonzero(np.diff(np.concatenate(([False], hit[first[x] : first[x + 1]], [False])).view(np.int8)))
                     spans.append(change.tolist())
                 else:

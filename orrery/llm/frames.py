@@ -32,6 +32,10 @@ def append(df: DataFrame, fields: T.StructType, compute: Callable[[pa.RecordBatc
     return df.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
+#: Scratch files in a local folder have no checksum files beside them: each of these costs three more processes that set modes.
+SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,7 +53,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     _dropped_at_end(spark, path)
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

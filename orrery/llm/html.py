@@ -53,7 +53,11 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """The element tree of a document or fragment. Depth is bounded: beyond MAX_OPEN open elements, children become siblings."""
+    """The element tree of a document or fragment.
+
+    Its depth is bounded: of elements inside MAX_OPEN others only those that may hide or show what they hold become nodes;
+    what other ones hold goes to the node around them.
+    """
     root = Node("#root")
     stack = [root]
     at, n = 0, len(html)
@@ -116,7 +120,10 @@ def parse(html: str) -> Node:
                 node.kids.append(html[at : end.start()] if end else html[at:])
                 at = html.find(">", end.start()) + 1 if end else n
                 at = at or n
-            elif len(stack) < MAX_OPEN:
+            else:
+                if len(stack) >= MAX_OPEN and not (tag in UNSEEN or tag in UNDRAWN or tag == "details" or "hidden" in attrs or "style" in attrs):
+                    node.kids = stack[-1].kids
+                    node.kids[-1:] = [Node("br")] if tag in BLOCK else []
                 stack.append(node)
         elif m["e"]:
             tag = m["e"].lower()

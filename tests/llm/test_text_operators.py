@@ -70,13 +70,13 @@ def brute_contamination(texts, items, n=10):
     for i, t in items:
         w = alnum(t)
         for k in range(max(1, len(w) - n + 1) if w else 0):
-            windows[tuple(w[k : k + n])].add(str(i))
+            windows[tuple(w[k : k + n])].update([] if i is None else [str(i)])
     out = []
     for t in texts:
         w, hit, ids = alnum(t), set(), set()
         for m in {len(x) for x in windows}:
             for k in range(len(w) - m + 1):
-                if found := windows.get(tuple(w[k : k + m])):
+                if (found := windows.get(tuple(w[k : k + m]))) is not None:
                     hit.update(range(k, k + m))
                     ids |= found
         out.append((len(w), len(hit), sorted(ids)))
@@ -85,8 +85,8 @@ def brute_contamination(texts, items, n=10):
 
 @pytest.mark.parametrize("block_words", [1, 10**6])
 def test_decontamination(spark, block_words):
-    items = [(1, prose(1, 30)), (2, prose(2, 10)), (3, "tiny item"), (4, None), (5, "..."), (6, prose(1, 30)), (10, prose(4, 200))]
-    texts = [*ODD, prose(1, 30), "x " + prose(1, 12) + " y", prose(2, 10).upper().replace(" ", " - "), prose(2, 9), "a Tiny, item!", prose(9, 500), prose(9, 40) + " " + prose(4, 60) + " " + prose(8, 50) + " " + prose(1, 30)]
+    items = [(None, prose(11, 12)), (1, prose(1, 30)), (2, prose(2, 10)), (3, "tiny item"), (4, None), (5, "..."), (6, prose(1, 30)), (10, prose(4, 200))]
+    texts = [*ODD, prose(11, 12), prose(1, 30), prose(1, 30), "x " + prose(1, 12) + " y", prose(2, 10).upper().replace(" ", " - "), prose(2, 9), "a Tiny, item!", prose(9, 500), prose(9, 40) + " " + prose(4, 60) + " " + prose(8, 50) + " " + prose(1, 30)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.decontaminate(docs_of(spark, texts), bench, block_words=block_words).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_hit, r.item_ids) for r in got] == brute_contamination(texts, items)
@@ -392,6 +392,39 @@ def test_surrogates_are_distinct():
         assert len(set(new)) == len(set(values)) and not any(a == b for a, b in zip(values, new))
 
 
+def test_entities_and_their_spellings():
+    key = b"q" * 16
+    text, told = pii.redact("Mrs. Weber and Mrs. Anna Weber met Herr Zelda Quux und Dr. Quux", key)
+    names = {v: s for k, _, v, s in told}
+    assert list(names) == ["Weber", "Anna Weber", "Zelda Quux", "Quux"] and " and Mrs. " in text and " und Dr. " in text
+    assert names["Anna Weber"].split()[1] == names["Weber"] and names["Zelda Quux"].split()[1] == names["Quux"]
+    assert names["Zelda Quux"].split()[0][-1] == "a" and re.fullmatch("[A-Z][a-z]+", names["Quux"])
+    local = lambda v: "".join(re.findall(r"\d", pii.surrogate("PHONE", v, key)))
+    assert local("+351912345678") == local("+351 912345678") and local("0049 221 123456")[2:] == local("+49 221123456") and local("+1 (555) 123-4567") == local("+15551234567")
+    v6 = "2001:db8:85a3::8a2e:370:7334"
+    text, told = pii.redact(f"from {v6} at 12:34:56, std::vector and aa:bb:cc:dd:ee:ff", key)
+    assert [(k, v) for k, _, v, _ in told] == [("IP6", v6)] and v6 not in text and len(told[0][3]) == len(v6) and "12:34:56" in text
+    many = [f"2001:db8::{i:x}:1a{i % 16:x}" for i in range(1, 400)] + ["2001:0db8:0000:0000:0000:0000:0000:0001", "::1234:0", "fe80::1"]
+    new = [pii.surrogate("IP6", v, key) for v in many]
+    assert len(set(new)) == len(set(many)) and not set(zip(many, new)) & set(zip(many, many))
+    words = [a + b for a in ("Qua", "Zor", "Bel") for b in ("xa", "nix", "lt", "mo", "e")]
+    assert len({pii.surrogate("NAME:Frau", w, key) for w in words}) == len(words)
+
+
+def test_entities_in_very_long_texts():
+    run = "a" * 1_000_000
+    for text in (run, run + "@", "@" * 100_000, "1" * 300_000, "a.b@" * 50_000, ":" * 100_000, "Mrs. " * 50_000):
+        assert len(pii.redact(text, b"k" * 16)[0]) == len(text)
+    assert [e[0] for e in pii.redact("g" * 1_000_000 + " x.y@host.org " + "g" * 1_000_000, b"k" * 16)[1]] == ["EMAIL"]
+
+
+def test_surrogates_of_odd_tables(spark):
+    docs = docs_of(spark, [None, "a@b.org", "a@b.org"]).withColumn("entities", F.lit("clash"))
+    got = pii.surrogates(docs, b"k" * 16).orderBy("doc_id").collect()
+    assert got[0].text is None and got[0].entities == [] and got[1].text == got[2].text != "a@b.org"
+    assert pii.surrogates(docs.limit(0), b"k" * 16).count() == 0
+
+
 # -- op 5
 def test_gates_hide_no_entity(monkeypatch):
     phones = ["+33 6 12 34 56 78", "+45 12 34 56 78", "+47 22 85 50 50"]
@@ -542,3 +575,16 @@ def test_html_frame(spark):
 
 def test_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_html_beyond_the_deepest_level():
+    deep = "<div>" * 3000
+    page = deep + "seen <b>this</b><div hidden>not <i>this</i> nor <div>that</div></div><script>no</script><p style='display:none'>no</p> end" + "</div>" * 3000 + "<p>after</p>"
+    assert " ".join(html.render(page).split()) == "seen this end after"
+    assert html.render("") == ""
+
+
+def test_html_of_odd_tables(spark):
+    rows = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None)], "page_id long, html string")
+    assert sorted((r.page_id, r.text) for r in html.extract(rows).collect() if r.text) == [(1, "a"), (1, "a")]
+    assert html.extract(rows.limit(0)).count() == 0
