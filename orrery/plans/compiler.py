@@ -132,7 +132,28 @@ class Compiler:
 
     def join(self, a: Solutions, b: Solutions) -> Solutions:
         b, shared = self._aligned(a, b)
-        cond = self._match(a, b, shared)
+        if shared and not any(certain for _, _, certain in shared):
+            return self._split(a, b, shared)
+        return self._joined(a, b, shared, self._match(a, b, shared))
+
+    def _split(self, a: Solutions, b: Solutions, shared: list) -> Solutions:
+        """A join without a variable that is bound on both sides for sure: rows that have the first one are joined on it.
+
+        Only rows without it, which are compatible with all others by definition, meet all rows of the other side.
+        """
+        n, m, _ = shared[0]
+        rest = shared[1:]
+        some = lambda s, x, bound: Solutions(s.df.where(s.df[x].isNotNull() if bound else s.df[x].isNull()), s.types, s.maybe)
+        parts = []
+        for x, y, on in ((some(a, n, True), some(b, m, True), [(n, m, True), *rest]), (some(a, n, False), b, rest), (some(a, n, True), some(b, m, False), rest)):
+            parts.append(self._joined(x, y, shared, self._match(x, y, on)))
+        out = parts[0].df
+        for p in parts[1:]:
+            out = out.unionByName(p.df)
+        return Solutions(out, parts[0].types, parts[0].maybe)
+
+    def _joined(self, a: Solutions, b: Solutions, shared: list, cond: Column | None) -> Solutions:
+        """Rows of both sides that fit by the condition, with one column for each shared variable."""
         df = a.df.crossJoin(b.df) if cond is None else a.df.join(b.df, cond, "inner")
         cols, types, maybe = [], {}, set()
         gone = {m: n for n, m, _ in shared}

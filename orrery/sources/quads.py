@@ -42,6 +42,7 @@ class QuadStore:
         self.log: list[tuple[str, DataFrame]] = []  # change capture: ("insert" or "delete", quads)
         empty = spark.createDataFrame([], rdf.QUAD_SQL)
         self._quads = self._numbered(quads if quads is not None else empty, 0)
+        self._issued = 0  # the largest sid ever given: those of removed quads are not given again
 
     # -- contents
     @property
@@ -55,7 +56,8 @@ class QuadStore:
         return quads.dropDuplicates(KEY).withColumn("sid", F.monotonically_increasing_id() + after + 1).withColumn("source", F.lit(source).cast("tinyint"))
 
     def _last(self) -> int:
-        return self._quads.agg(F.max("sid")).first()[0] or 0
+        self._issued = max(self._issued, self._quads.agg(F.max("sid")).first()[0] or 0)
+        return self._issued
 
     def rows(self, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, rdf.QUAD_SQL)
@@ -70,6 +72,7 @@ class QuadStore:
         self.log.append(("insert", new))
 
     def remove(self, quads: DataFrame) -> None:
+        self._last()
         gone = quads.select(*KEY).dropDuplicates(KEY)
         self.log.append(("delete", written(gone)))
         self._quads = written(self._quads.join(gone, _null_safe(self._quads, gone), "left_anti"))
