@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, langid, neardup, packing, pii, quality, tokens, toxicity, urls
+from . import decontamination, html, langid, neardup, oracles, packing, pii, quality, tokens, toxicity, urls
 from .frames import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,7 +91,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.repetition(docs, keep=["doc_id"])
+    return quality.repetition(docs, keep=["doc_id"]).withColumn("n_gram_chars", F.array_join(F.col("n_gram_chars").cast("array<string>"), ","))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +108,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html, op2_urls, op3_pii, op4_neardup, op5_tokens, op6_langid, op7_toxicity, op8_packing, op9_quality, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_neardup": oracles.NEARDUP, "op9_quality": oracles.QUALITY, "op10_decontamination": oracles.DECONTAMINATION}

@@ -8,8 +8,10 @@ dates, mixed codes) become wildcards at once. Then, level by level from the root
 
 * generalise: a node with more than FANOUT different children, none of which holds more than SHARE of its urls, gets one
   wildcard child instead;
-* merge: children of a node that have the same kind of children below them (equal bottom-k sketches, of SKETCH hashes, of
-  their next segments and similar labelled purity, told by a two-proportion test) become one branch, again a wildcard;
+* merge: children of a node that have similar kinds of children below them (bottom-k sketches, of SKETCH hashes, of their
+  next segments, that share at least ALIKE of their hashes with the largest such child's) and similar labelled purity,
+  told by a two-proportion test, become one branch, again a wildcard. Children are compared if their least hashes are
+  equal, as they are with a probability that is their similarity;
 
 down to the last segment. From level DEEP on, a path with no other beside it is finished at once: nothing could change the
 rest of it. A template is rejected if its labelled urls are bad often enough: the share
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .frames import written
 
 FANOUT, SHARE = 20, 0.2
-DEEP, SKETCH = 6, 64
+DEEP, SKETCH, ALIKE = 6, 64, 0.6
 CUT, MIN_BAD, STRENGTH = 0.6, 3, 4.0
 Z_MERGE = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,14 +89,15 @@ def templates(urls: DataFrame) -> DataFrame:
     while True:
         child = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
         tree = tree.withColumn("child", child)
-        kids = tree.where("child <> ''").groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).join(_below(tree, level), ["host", "template", "child"])
+        kids = tree.where("child <> ''").groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).join(_below(tree, level), ["host", "template", "child"]).withColumn("first", F.get("below", F.lit(0)))
         # merge: siblings with the same kinds of children and no significant difference in purity
-        alike = kids.where("child <> '*'").groupBy("host", "template", "below").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.max("n").alias("most"))
+        alike = kids.where("child <> '*'").groupBy("host", "template", "first").agg(F.count("*").alias("k"), F.max_by("below", F.struct("n", "child")).alias("like"), F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.max("n").alias("most"))
         spread = F.sqrt(F.greatest((F.col("b") + 1) * (F.col("g") + 1) / F.pow(F.col("b") + F.col("g") + 2, 2) / F.greatest(F.col("good") + F.col("bad"), F.lit(1)), F.lit(1e-9)))
         near = F.abs((F.col("bad") + 1) / (F.col("good") + F.col("bad") + 2) - (F.col("b") + 1) / (F.col("g") + F.col("b") + 2)) <= Z_MERGE * spread + 0.1
+        kin = F.size(F.array_intersect("below", "like")) >= ALIKE * F.size(F.array_union("below", "like"))
         node = kids.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.max(F.when(F.col("child") != "*", F.col("n"))).alias("top"))
         general = node.where((F.col("kinds") > FANOUT) & (F.coalesce("top", F.lit(0)) <= SHARE * F.col("total"))).select("host", "template", F.lit(True).alias("general"))
-        merged = kids.join(alike.where("k > 2").select("host", "template", "below", "k", "g", "b"), ["host", "template", "below"]).where(near & (F.col("child") != "*")).select("host", "template", "child", F.lit(True).alias("merged"))
+        merged = kids.join(alike.where("k > 2").select("host", "template", "first", "like", "k", "g", "b"), ["host", "template", "first"]).where(near & kin & (F.col("child") != "*")).select("host", "template", "child", F.lit(True).alias("merged"))
         tree = tree.join(general, ["host", "template"], "left").join(merged, ["host", "template", "child"], "left")
         named = F.when(F.col("child") == "", F.lit("")).when(F.coalesce("general", "merged", F.lit(False)), F.lit("/*")).otherwise(F.concat(F.lit("/"), "child"))
         tree = written(tree.withColumn("template", F.concat("template", named)).select("host", "segs", "n", "good", "bad", "template"))
