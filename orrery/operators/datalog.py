@@ -26,6 +26,10 @@ TRIPLE = ["s", "p", "o"]
 MAX_ROUNDS = 10_000
 
 
+#: Rules made of axioms are made on the driver; more are an error.
+MOST_AXIOMS = 100_000
+
+
 class DatalogError(ValueError):
     """The rules can't be parsed or stratified."""
 
@@ -313,6 +317,8 @@ def infer(facts: DataFrame, rules: list[Rule], *, subsumption: bool = True, max_
             everything.append(new)
             if not recursive:
                 break
+        else:
+            raise DatalogError(f"no fixpoint after {max_rounds} rounds")
     derived = everything[0] if everything else told.where("false")
     for e in everything[1:]:
         derived = derived.unionByName(e)
@@ -402,6 +408,8 @@ def well_founded(facts: DataFrame, rules: list[Rule], max_rounds: int = 100) ->
         if n == size:
             break
         size = n
+    else:
+        raise DatalogError(f"no fixpoint after {max_rounds} rounds")
     told = facts.select(*TRIPLE)
     return low.join(told, TRIPLE, "left_anti"), high.join(low, TRIPLE, "left_anti")
 
@@ -418,8 +426,8 @@ def lattice(edges: DataFrame, values: DataFrame, join: str, max_rounds: int = MA
         marked = written(both.select("s", "v", (~F.col("v").eqNullSafe(F.col("w"))).alias("new")))
         now, changed = marked.select("s", "v"), marked.where("new").select("s", "v")
         if changed.isEmpty():
-            break
-    return now
+            return now
+    raise DatalogError(f"no fixpoint after {max_rounds} rounds")
 
 
 def violations(facts: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -544,7 +552,7 @@ def canonicalised(facts: DataFrame) -> DataFrame:
 
 
 _R, _S, _O = "rdf:type", "rdfs:subClassOf", "rdfs:subPropertyOf"
-_PREFIXES = {"rdf": A.RDF, "rdfs": A.RDFS, "owl": A.OWL, "skos": A.SKOS}
+_PREFIXES = {"rdf": A.RDF, "rdfs": A.RDFS, "owl": A.OWL, "skos": A.SKOS, "skosxl": "http://www.w3.org/2008/05/skos-xl#", "dcterms": "http://purl.org/dc/terms/", "schema": "https://schema.org/", "foaf": "http://xmlns.com/foaf/0.1/"}
 RULE_SETS: dict[str, str] = {
     "rdfs": """?x ?q ?y :- ?p rdfs:subPropertyOf ?q, ?x ?p ?y . ?p rdfs:subPropertyOf ?r :- ?p rdfs:subPropertyOf ?q, ?q rdfs:subPropertyOf ?r .
       ?x a ?c :- ?p rdfs:domain ?c, ?x ?p ?y . ?y a ?c :- ?p rdfs:range ?c, ?x ?p ?y . ?x a ?d :- ?c rdfs:subClassOf ?d, ?x a ?c . ?c rdfs:subClassOf ?e :- ?c rdfs:subClassOf ?d, ?d rdfs:subClassOf ?e .""",
@@ -556,6 +564,10 @@ RULE_SETS: dict[str, str] = {
     "skos": "?y skos:narrower ?x :- ?x skos:broader ?y . ?y skos:broader ?x :- ?x skos:narrower ?y . ?y skos:related ?x :- ?x skos:related ?y . ?c skos:inScheme ?s :- ?c skos:topConceptOf ?s . ?s skos:hasTopConcept ?c :- ?c skos:topConceptOf ?s . ?c skos:topConceptOf ?s :- ?s skos:hasTopConcept ?c . ?y skos:exactMatch ?x :- ?x skos:exactMatch ?y . ?y skos:closeMatch ?x :- ?x skos:closeMatch ?y .",
     "skos-transitive": "?x skos:broaderTransitive ?y :- ?x skos:broader ?y . ?x skos:broaderTransitive ?z :- ?x skos:broaderTransitive ?y, ?y skos:broaderTransitive ?z . ?y skos:narrowerTransitive ?x :- ?x skos:broaderTransitive ?y .",
 }
+RULE_SETS["skosxl"] = "?x skos:prefLabel ?t :- ?x skosxl:prefLabel ?l, ?l skosxl:literalForm ?t . ?x skos:altLabel ?t :- ?x skosxl:altLabel ?l, ?l skosxl:literalForm ?t . ?x skos:hiddenLabel ?t :- ?x skosxl:hiddenLabel ?l, ?l skosxl:literalForm ?t . ?m skosxl:labelRelation ?l :- ?l skosxl:labelRelation ?m ."
+RULE_SETS["dcterms"] = "?y dcterms:hasPart ?x :- ?x dcterms:isPartOf ?y . ?y dcterms:isPartOf ?x :- ?x dcterms:hasPart ?y . ?y dcterms:replaces ?x :- ?x dcterms:isReplacedBy ?y . ?y dcterms:isReplacedBy ?x :- ?x dcterms:replaces ?y . ?y dcterms:isVersionOf ?x :- ?x dcterms:hasVersion ?y . ?y dcterms:hasVersion ?x :- ?x dcterms:isVersionOf ?y . ?y dcterms:references ?x :- ?x dcterms:isReferencedBy ?y . ?y dcterms:isReferencedBy ?x :- ?x dcterms:references ?y . ?y dcterms:requires ?x :- ?x dcterms:isRequiredBy ?y . ?y dcterms:isRequiredBy ?x :- ?x dcterms:requires ?y . ?x dcterms:contributor ?y :- ?x dcterms:creator ?y ."
+RULE_SETS["schema"] = "?x a schema:Thing :- ?x schema:name ?n . ?y schema:hasPart ?x :- ?x schema:isPartOf ?y . ?y schema:isPartOf ?x :- ?x schema:hasPart ?y . ?y schema:memberOf ?x :- ?x schema:member ?y . ?y schema:member ?x :- ?x schema:memberOf ?y . ?y schema:subOrganization ?x :- ?x schema:parentOrganization ?y . ?y schema:parentOrganization ?x :- ?x schema:subOrganization ?y . ?y schema:containedInPlace ?x :- ?x schema:containsPlace ?y . ?y schema:containsPlace ?x :- ?x schema:containedInPlace ?y . ?y schema:knows ?x :- ?x schema:knows ?y ."
+RULE_SETS["foaf"] = "?x a foaf:Agent :- ?x a foaf:Person . ?x a foaf:Agent :- ?x a foaf:Organization . ?x a foaf:Agent :- ?x a foaf:Group . ?x a foaf:Person :- ?x foaf:knows ?y . ?y a foaf:Person :- ?x foaf:knows ?y . ?y foaf:made ?x :- ?x foaf:maker ?y . ?y foaf:maker ?x :- ?x foaf:made ?y . ?y foaf:depiction ?x :- ?x foaf:depicts ?y . ?y foaf:depicts ?x :- ?x foaf:depiction ?y . ?y foaf:primaryTopic ?x :- ?x foaf:isPrimaryTopicOf ?y . ?y foaf:isPrimaryTopicOf ?x :- ?x foaf:primaryTopic ?y . ?g a foaf:Group :- ?g foaf:member ?x . ?x a foaf:Agent :- ?g foaf:member ?x ."
 RULE_SETS["owl-el"] = RULE_SETS["rdfs"] + " ?x a ?c :- ?c owl:someValuesFrom ?d, ?c owl:onProperty ?p, ?x ?p ?y, ?y a ?d . ?x a ?d :- ?c owl:equivalentClass ?d, ?x a ?c . ?x a ?c :- ?c owl:equivalentClass ?d, ?x a ?d ."
 RULE_SETS["owl-ql"] = RULE_SETS["rdfs"] + " ?y ?q ?x :- ?p owl:inverseOf ?q, ?x ?p ?y . ?y ?p ?x :- ?p a owl:SymmetricProperty, ?x ?p ?y ."
 RULE_SETS["owl-rl"] = RULE_SETS["rdfs"] + RULE_SETS["owl-rl"]
@@ -567,7 +579,9 @@ def rule_set(name: str) -> list[Rule]:
 
 def list_rules(facts: DataFrame, spark: SparkSession) -> list[Rule]:
     """owl:propertyChainAxiom and owl:intersectionOf of the facts as rules, with their lists' contents."""
-    told = facts.where(F.col("p").isin(A.RDF + "first", A.RDF + "rest", A.OWL + "propertyChainAxiom", A.OWL + "intersectionOf")).select("s.lex", "p", "o.lex").toDF("s", "p", "o").limit(100_000).collect()
+    told = facts.where(F.col("p").isin(A.RDF + "first", A.RDF + "rest", A.OWL + "propertyChainAxiom", A.OWL + "intersectionOf")).select("s.lex", "p", "o.lex").toDF("s", "p", "o").limit(MOST_AXIOMS + 1).collect()
+    if len(told) > MOST_AXIOMS:
+        raise DatalogError(f"more than {MOST_AXIOMS} statements of property chains and intersections")
     first, rest = {r.s: r.o for r in told if r.p.endswith("first")}, {r.s: r.o for r in told if r.p.endswith("rest")}
     out = []
     for r in told:

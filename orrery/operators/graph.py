@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import algebra as A
 from .lineage import written
 from .paths import transitive
 
@@ -111,3 +112,17 @@ def triangles(edges: DataFrame) -> DataFrame:
     closed = wedge.join(e, (wedge["y"] == e["a"]) & (wedge["z"] == e["b"]), "left_semi")
     t = F.array_sort(F.array("x", "y", "z"))
     return closed.select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
+
+
+def related(quads: DataFrame, node) -> DataFrame:
+    """Concepts that are related to a node in either direction (skos:related)."""
+    e = quads.where(F.col("p") == A.SKOS + "related").select("s", "o")
+    both = e.where(F.col("s") == node).select(F.col("o").alias("node")).unionByName(e.where(F.col("o") == node).select(F.col("s").alias("node")))
+    return both.distinct()
+
+
+def labels(quads: DataFrame, lang: str = "en") -> DataFrame:
+    """(node, label): the preferred label of each concept, in the language if there is one, else without language, else any."""
+    p = quads.where(F.col("p") == A.SKOS + "prefLabel")
+    rank = F.when(F.col("o.lang") == lang, 0).when(F.col("o.lang") == "", 1).otherwise(2)
+    return p.groupBy(F.col("s.lex").alias("node")).agg(F.min(F.struct(rank.alias("r"), F.col("o.lang").alias("l"), F.col("o.lex").alias("x"))).alias("b")).select("node", F.col("b.x").alias("label"))

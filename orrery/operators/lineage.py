@@ -15,14 +15,17 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df after a round trip through Parquet in the shared folder; executors may be lost without loss of these rows.
-
-    The files are deleted when the session's application ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, whose files are deleted when the session's application ends."""
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df after a round trip through Parquet in the shared folder; executors may be lost without loss of these rows."""
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

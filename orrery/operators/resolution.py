@@ -164,17 +164,27 @@ def resolve(pairs: DataFrame, score: Column, threshold: float) -> DataFrame:
 
 
 def evaluated(found: DataFrame, gold: DataFrame, candidates: DataFrame | None = None, total_pairs: int | None = None) -> DataFrame:
-    """Pairwise precision, recall and F1 of clusters (node, component) against gold; pair completeness and reduction of blocking."""
-    pairs = lambda c: c.alias("x").join(c.alias("y"), F.col("x.component") == F.col("y.component")).where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    f, g = pairs(found), pairs(gold)
-    tp = f.join(g, ["a", "b"]).count()
-    nf, ng = f.count(), g.count()
-    p, r = tp / nf if nf else 0.0, tp / ng if ng else 0.0
-    row = {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0.0}
+    """Pairwise and B-cubed precision, recall and F1 of clusters (node, component) against gold, over the nodes of both.
+
+    Counted from the sizes of clusters and of what two have in common, without any pairs. Of candidates (a, b), if given, also
+    how many of the gold pairs they hold and by how much they reduce the total.
+    """
+    cells = found.withColumnRenamed("component", "f").join(gold.withColumnRenamed("component", "g"), "node").groupBy("f", "g").agg(F.count("*").alias("n"))
+    of = lambda c: cells.groupBy(c).agg(F.sum("n").alias("size_" + c))
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    nf, ng = of("f").agg(pairs("size_f")).first()[0] or 0.0, of("g").agg(pairs("size_g")).first()[0] or 0.0
+    n2 = F.col("n") * F.col("n")
+    row = cells.join(of("f"), "f").join(of("g"), "g").agg(pairs("n").alias("tp"), F.sum("n").alias("n"), F.sum(n2 / F.col("size_f")).alias("bp"), F.sum(n2 / F.col("size_g")).alias("br")).first()
+    score = lambda name, p, r: {name + "precision": p, name + "recall": r, name + "f1": 2 * p * r / (p + r) if p + r else 0.0}
+    tp = row.tp or 0.0
+    out = score("", tp / nf if nf else 0.0, tp / ng if ng else 0.0)
+    out |= score("b3_", row.bp / row.n if row.n else 0.0, row.br / row.n if row.n else 0.0)
     if candidates is not None:
-        row["pair_completeness"] = candidates.join(g, ["a", "b"]).count() / ng if ng else 0.0
-        row["reduction"] = 1 - candidates.count() / total_pairs if total_pairs else 0.0
-    return found.sparkSession.createDataFrame([row])
+        side = lambda c: gold.select(F.col("node").alias(c), F.col("component").alias("__" + c))
+        held = candidates.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("__a = __b").count()
+        out["pair_completeness"] = held / ng if ng else 0.0
+        out["reduction"] = 1 - candidates.count() / total_pairs if total_pairs else 0.0
+    return found.sparkSession.createDataFrame([out])
 
 
 def bloom(value: str, key: bytes, hashes: int = 20, bits: int = 1024) -> str:

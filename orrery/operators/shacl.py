@@ -292,7 +292,7 @@ class Validator:
                     self.store.add(self.store.construct(r.replace("$this", "?this")), source=1)
             if self.store.quads.count() == before:
                 return i
-        return rounds
+        raise ValueError(f"rules still add facts after {rounds} rounds")
 
     def score(self) -> float:
         """1 less the weighted share of violations: 1 - sum(w v) / sum(w (v + 1)) over violated shapes."""

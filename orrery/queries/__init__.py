@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .base import ORACLE_SQL, QUERIES
-from . import reasoning, sparql  # noqa: E402, F401, I001
+from . import more, reasoning, sparql  # noqa: E402, F401, I001
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

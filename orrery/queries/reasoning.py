@@ -62,9 +62,10 @@ def datalog_tc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(D.infer(places(spark, sf_dir), D.parse_rules(_TC)).derived)
 
 
-@query("datalog_negation", "SELECT 'urn:customer:' || c_custkey AS s, 'urn:idle' AS p, 'true' AS o FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("datalog_negation", "SELECT 'urn:customer:' || c_custkey AS s, 'urn:idle' AS p, 'true' AS o FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def datalog_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    o = o.where("o_orderpriority = '1-URGENT'")
     facts = fact(c, ("urn:customer:", "c_custkey"), A.RDF + "type", V.struct(0, F.lit("urn:Customer"))).unionByName(fact(o, ("urn:customer:", "o_custkey"), "urn:ordered", iri("urn:orders:", "o_orderkey")))
     return flat(D.infer(facts, D.parse_rules("?c <urn:active> true :- ?c <urn:ordered> ?o . ?c <urn:idle> true :- ?c a <urn:Customer>, NOT ?c <urn:active> true .")).derived.where("p = 'urn:idle'"))
 
@@ -166,6 +167,15 @@ def shacl(name: str, shape: str, sql: str) -> None:
         facts = fact(c, key, A.RDF + "type", V.struct(0, F.lit("urn:Customer")))
         for p, v in (("nation", iri("urn:nation:", "c_nationkey")), ("balance", number("c_acctbal", "double")), ("segment", text("c_mktsegment")), ("name", text("c_name")), ("limit", number("c_limit", "double"))):
             facts = facts.unionByName(fact(c.withColumn("c_limit", F.lit(5000.0)), key, f"urn:{p}", v))
+        facts = facts.unionByName(fact(c.where("c_acctbal > 5000"), key, "urn:rich", text("c_name"))) if "closed" in shape else facts
+        home = c.withColumn("home", F.lit(3))
+        facts = facts.unionByName(fact(home, key, "urn:home", iri("urn:nation:", "home")))
+        if "urn:label>" in shape:
+            tag = F.element_at(F.array(F.lit("fr"), F.lit("en"), F.lit("de")), F.col("c_nationkey") % 3 + 1)
+            facts = facts.unionByName(fact(c.withColumn("tag", tag), key, "urn:label", V.struct(2, F.col("c_name"), A.RDF + "langString", F.col("tag"))))
+        if "urn:size>" in shape or "urn:Big>" in shape:
+            three = read(spark, sf_dir, "nation").where("n_nationkey = 3")
+            facts = facts.unionByName(fact(three, ("urn:nation:", "n_nationkey"), "urn:size", number("n_nationkey"))).unionByName(fact(three, ("urn:nation:", "n_nationkey"), A.RDF + "type", V.struct(0, F.lit("urn:Big"))))
         if "urn:order>" in shape:
             facts = facts.unionByName(fact(o, ("urn:customer:", "o_custkey"), "urn:order", iri("urn:orders:", "o_orderkey")))
         ttl = f"@prefix sh: <{A.SH}> . @prefix xsd: <{A.XSD}> . <urn:S> a sh:NodeShape ; sh:targetClass <urn:Customer> ; {shape} ."
@@ -185,13 +195,20 @@ shacl("shacl_max_count", "sh:property [ sh:path <urn:order> ; sh:maxCount 15 ]",
 shacl("shacl_in", "sh:property [ sh:path <urn:segment> ; sh:in ('BUILDING' 'MACHINERY') ]", _broken("in", "c_mktsegment NOT IN ('BUILDING', 'MACHINERY')"))
 shacl("shacl_ranges", "sh:property [ sh:path <urn:balance> ; sh:minInclusive 0 ; sh:maxExclusive 9000 ]", _broken("minInclusive", "c_acctbal < 0") + " UNION ALL " + _broken("maxExclusive", "c_acctbal >= 9000"))
 shacl("shacl_pattern_length", "sh:property [ sh:path <urn:segment> ; sh:pattern '^[A-M]' ; sh:maxLength 9 ]", _broken("pattern", "NOT regexp_matches(c_mktsegment, '^[A-M]')") + " UNION ALL " + _broken("maxLength", "LENGTH(c_mktsegment) > 9"))
-shacl("shacl_datatype_node_kind", "sh:property [ sh:path <urn:balance> ; sh:datatype xsd:double ] ; sh:property [ sh:path <urn:nation> ; sh:nodeKind sh:Literal ]", _broken("nodeKind", "true"))
+shacl("shacl_datatype_node_kind", "sh:property [ sh:path <urn:balance> ; sh:datatype xsd:double ; sh:nodeKind sh:Literal ] ; sh:property [ sh:path <urn:name> ; sh:datatype xsd:integer ] ; sh:property [ sh:path <urn:nation> ; sh:nodeKind sh:Literal ]", _broken("nodeKind", "true") + " UNION ALL " + _broken("datatype", "true"))
 shacl("shacl_has_value", "sh:property [ sh:path <urn:nation> ; sh:hasValue <urn:nation:3> ]", _broken("hasValue", "c_nationkey <> 3"))
 shacl("shacl_less_than", "sh:property [ sh:path <urn:balance> ; sh:lessThan <urn:limit> ]", _broken("lessThan", "c_acctbal >= 5000"))
-shacl("shacl_disjoint_equals", "sh:property [ sh:path <urn:name> ; sh:disjoint <urn:segment> ; sh:equals <urn:name> ]", _broken("disjoint", "c_name = c_mktsegment"))
+shacl("shacl_disjoint_equals", "sh:property [ sh:path <urn:nation> ; sh:disjoint <urn:home> ] ; sh:property [ sh:path <urn:home> ; sh:equals <urn:nation> ]", _broken("disjoint", "c_nationkey = 3") + " UNION ALL " + _broken("equals", "c_nationkey <> 3"))
 shacl("shacl_logic", "sh:property [ sh:path <urn:balance> ; sh:or ( [ sh:maxInclusive 0 ] [ sh:minInclusive 5000 ] ) ; sh:not [ sh:minInclusive 9500 ] ]", _broken("or", "c_acctbal > 0 AND c_acctbal < 5000") + " UNION ALL " + _broken("not", "c_acctbal >= 9500"))
 shacl("shacl_xone_and", "sh:property [ sh:path <urn:balance> ; sh:xone ( [ sh:maxInclusive 1000 ] [ sh:minInclusive 500 ] ) ; sh:and ( [ sh:minInclusive -900 ] [ sh:maxInclusive 9900 ] ) ]", _broken("xone", "c_acctbal BETWEEN 500 AND 1000") + " UNION ALL " + _broken("and", "c_acctbal < -900 OR c_acctbal > 9900"))
-shacl("shacl_closed", f"sh:closed true ; sh:ignoredProperties ( <{A.RDF}type> <urn:name> <urn:segment> <urn:nation> <urn:limit> )", _broken("closed", "true"))
+shacl("shacl_closed", f"sh:closed true ; sh:ignoredProperties ( <{A.RDF}type> <urn:name> <urn:segment> <urn:nation> <urn:limit> <urn:balance> <urn:home> )", _broken("closed", "c_acctbal > 5000"))
+shacl("shacl_length_exclusive", "sh:property [ sh:path <urn:segment> ; sh:minLength 9 ] ; sh:property [ sh:path <urn:balance> ; sh:minExclusive 0 ]", _broken("minLength", "LENGTH(c_mktsegment) < 9") + " UNION ALL " + _broken("minExclusive", "c_acctbal <= 0"))
+shacl("shacl_less_or_equal", "sh:property [ sh:path <urn:balance> ; sh:lessThanOrEquals <urn:limit> ]", _broken("lessThanOrEquals", "c_acctbal > 5000"))
+shacl("shacl_language", "sh:property [ sh:path <urn:label> ; sh:languageIn ( 'en' 'de' ) ]", _broken("languageIn", "c_nationkey % 3 = 0"))
+shacl("shacl_node", "sh:property [ sh:path <urn:nation> ; sh:node [ sh:property [ sh:path <urn:size> ; sh:minCount 1 ] ] ]", _broken("node", "c_nationkey <> 3"))
+shacl("shacl_qualified", "sh:property [ sh:path <urn:balance> ; sh:qualifiedValueShape [ sh:minInclusive 1000 ] ; sh:qualifiedMinCount 1 ]", _broken("qualifiedValueShape", "c_acctbal < 1000"))
+shacl("shacl_class", "sh:property [ sh:path <urn:nation> ; sh:class <urn:Big> ]", _broken("class", "c_nationkey <> 3"))
+shacl("shacl_path", "sh:property [ sh:path ( <urn:nation> <urn:size> ) ; sh:minCount 1 ]", _broken("minCount", "c_nationkey <> 3"))
 
 
 # -- updates
@@ -234,25 +251,19 @@ def quads_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("k", F.concat(F.lit('"'), "k", F.lit('"')))
 
 
-@query("export_ntriples", "SELECT '<urn:nation:' || n_nationkey || '> <urn:in> <urn:region:' || n_regionkey || '> .' AS value FROM nation")
+@query("export_ntriples", "SELECT '<urn:nation:' || n_nationkey || '> <urn:in> <urn:region:' || n_regionkey || '> .' AS value FROM nation UNION ALL SELECT '<urn:customer:' || c_custkey || '> <urn:in> <urn:nation:' || c_nationkey || '> .' FROM customer UNION ALL SELECT '<urn:supplier:' || s_suppkey || '> <urn:in> <urn:nation:' || s_nationkey || '> .' FROM supplier UNION ALL SELECT '<urn:region:' || r_regionkey || '> <urn:name> \"' || r_name || '\" .' FROM region")
 def export_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.rdf import ntriples_lines
 
-    return ntriples_lines(places(spark, sf_dir).where("s.lex like 'urn:nation:%'"))
-
-
-@query("export_ntriples_all", "SELECT '<urn:nation:' || n_nationkey || '> <urn:in> <urn:region:' || n_regionkey || '> .' AS value FROM nation UNION ALL SELECT '<urn:customer:' || c_custkey || '> <urn:in> <urn:nation:' || c_nationkey || '> .' FROM customer UNION ALL SELECT '<urn:supplier:' || s_suppkey || '> <urn:in> <urn:nation:' || s_nationkey || '> .' FROM supplier")
-def export_ntriples_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.rdf import ntriples_lines
-
     return ntriples_lines(places(spark, sf_dir))
 
 
-@query("json_to_triples", "SELECT 'urn:events:' || event_id AS s, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("json_to_triples", "SELECT 'urn:events:' || event_id AS s, 'urn:json:k' AS p, json_extract_string(props, '$.k') AS o, 'http://www.w3.org/2001/XMLSchema#integer' AS dt FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.explode("m").alias("key", "v"))
-    quads = e.select(iri("urn:events:", "event_id").alias("s"), F.concat(F.lit("urn:json:"), "key").alias("p"), V.struct(2, F.col("v"), A.XSD + "integer").alias("o"))
-    return quads.where("p = 'urn:json:k'").select(F.col("s.lex").alias("s"), F.col("o.lex").cast("bigint").alias("k"))
+    from ..sources.rdf import json_rows
+
+    e = read(spark, sf_dir, "events")
+    return json_rows(e, F.concat(F.lit("urn:events:"), "event_id"), F.col("props")).select(F.col("s.lex").alias("s"), "p", F.col("o.lex").alias("o"), F.col("o.dt").alias("dt"))
 
 
 # -- temporal
@@ -313,16 +324,14 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- graphs
-def trade(spark: SparkSession, sf_dir: str, *, whole: bool = False) -> DataFrame:
-    """Edges from customers' to suppliers' nations: of all lineitems, or of those that the SQL in ``_TRADE`` leaves."""
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from customers' to suppliers' nations, of all lineitems."""
     c, o, x, s = (read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "supplier"))
     j = x.join(o, x["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, x["l_suppkey"] == s["s_suppkey"])
-    j = j if whole else j.where("l_quantity > 45 and c_nationkey % 5 <> 0")
     return j.select(F.col("c_nationkey").cast("bigint").alias("s"), F.col("s_nationkey").cast("bigint").alias("o")).distinct()
 
 
-_TRADE = "e AS (SELECT DISTINCT c_nationkey::BIGINT AS s, s_nationkey::BIGINT AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45 AND c_nationkey % 5 <> 0)"
-_ALL_TRADE = "e AS (SELECT DISTINCT c_nationkey::BIGINT AS s, s_nationkey::BIGINT AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
+_TRADE = "e AS (SELECT DISTINCT c_nationkey::BIGINT AS s, s_nationkey::BIGINT AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
 _RANK = ", r{i} AS (SELECT n.node, 0.15 / (SELECT COUNT(*) FROM nodes) + 0.85 * (COALESCE(SUM(r.score / d.k), 0) + (SELECT COALESCE(SUM(score), 0) FROM r{j} WHERE node NOT IN (SELECT s FROM d)) / (SELECT COUNT(*) FROM nodes)) AS score FROM nodes n LEFT JOIN e ON e.o = n.node LEFT JOIN r{j} r ON r.node = e.s LEFT JOIN d ON d.s = e.s GROUP BY n.node)"
 
 
@@ -346,26 +355,6 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.triangles(trade(spark, sf_dir))
 
 
-@query("pagerank_fixed_all", f"WITH {_ALL_TRADE}, nodes AS (SELECT s AS node FROM e UNION SELECT o FROM e), d AS (SELECT s, COUNT(*) AS k FROM e GROUP BY s), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT COUNT(*) FROM nodes) AS score FROM nodes)" + "".join(_RANK.format(i=i, j=i - 1) for i in range(1, 9)) + " SELECT node, ROUND(score, 6) AS score FROM r8")
-def pagerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.pagerank(trade(spark, sf_dir, whole=True), max_rounds=8, tolerance=0), 6)
-
-
-@query("centrality_degrees_all", f"WITH {_ALL_TRADE}, n AS (SELECT s AS node FROM e UNION ALL SELECT o FROM e) SELECT node, ROUND(COUNT(*)::DOUBLE / (SELECT COUNT(*) FROM n), 6) AS score FROM n GROUP BY node")
-def centrality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.centrality(trade(spark, sf_dir, whole=True), "share"), 6)
-
-
-@query("connected_components_all", f"WITH RECURSIVE {_ALL_TRADE}, b AS (SELECT s, o FROM e UNION SELECT o, s FROM e), t(node, m) AS (SELECT s, s FROM b UNION SELECT b.o, t.m FROM t JOIN b ON b.s = t.node) SELECT node, MIN(m) AS component FROM t GROUP BY node")
-def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(trade(spark, sf_dir, whole=True))
-
-
-@query("triangles_all", f"WITH {_ALL_TRADE}, u AS (SELECT DISTINCT LEAST(s, o) AS a, GREATEST(s, o) AS b FROM e WHERE s <> o) SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
-def triangles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.triangles(trade(spark, sf_dir, whole=True))
-
-
 @query("skos_hierarchy", "SELECT u.node, u.depth FROM nation, LATERAL (VALUES ('urn:region:' || n_regionkey, 2), ('urn:nation:' || n_nationkey, 1)) u(node, depth) WHERE n_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 11)")
 def skos(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = flat(places(spark, sf_dir).where("p = 'urn:in'")).select("s", "o")
@@ -435,12 +424,13 @@ def entity_resolution_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.resolve(R.similar_links(read(spark, sf_dir, "part"), "p_partkey", F.col("p_brand"), words, 80), F.col("score"), 0.8)
 
 
-@query("bloom_dice", "SELECT 25::BIGINT AS n, true AS equal_is_one")
+@query("bloom_dice", "SELECT p_partkey, p_type = p_name AS equal FROM part")
 def bloom_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters of two columns tell which rows have equal texts without the texts."""
     from ..functions.similarity import dice
 
-    n = read(spark, sf_dir, "nation").select("n_name", R.bloom_encoded(F.col("n_name"), b"shared key").alias("f"))
-    return n.select(dice(F.col("f"), F.col("f")).alias("d")).agg(F.count("*").alias("n"), F.bool_and(F.col("d") == 1.0).alias("equal_is_one"))
+    p = read(spark, sf_dir, "part").select("p_partkey", *[R.bloom_encoded(F.col(c), b"shared key").alias(c) for c in ("p_type", "p_name")])
+    return p.select("p_partkey", (dice(F.col("p_type"), F.col("p_name")) == 1.0).alias("equal"))
 
 
 @query("rule_mining", "SELECT 'urn:col:o_custkey' AS body, 'urn:buyer' AS head, COUNT(*) AS support, 1.0::DOUBLE AS confidence FROM orders UNION ALL SELECT 'urn:buyer', 'urn:col:o_custkey', COUNT(*), 1.0 FROM orders")

@@ -13,6 +13,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,6 +283,27 @@ _TERM = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?|<<.*>>
 _LINE = rf"^\s*{_TERM}\s*<([^>]*)>\s*{_TERM}\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$"
 
 
+def json_rows(rows: DataFrame, subject: Column, payload: Column, vocab: str = "urn:json:") -> DataFrame:
+    """Quads of a JSON object in each row, whose subject is an IRI; rows that hold no object give nothing."""
+    term = pa.struct([("kind", pa.int32()), ("lex", pa.string()), ("dt", pa.string()), ("lang", pa.string())])
+    schema = pa.schema([("s", term), ("p", pa.string()), ("o", term), ("g", pa.string())])
+    keys = ("kind", "lex", "dt", "lang")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = json.loads(text) if s is not None and text is not None else None
+                except ValueError:
+                    found = None
+                if isinstance(found, dict):
+                    out += [{"s": dict(zip(keys, q[0])), "p": q[1], "o": dict(zip(keys, q[2])), "g": q[3]} for q in json_to_quads(found, s, vocab=vocab)]
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return rows.select(subject.alias("s"), payload.alias("j")).mapInArrow(parse, QUAD_SQL)
+
+
 def _term_of(c: Column) -> Column:
     """A term from its N-Triples text, by Spark's own functions."""
     body = F.regexp_extract(c, r'^"((?:[^"\\]|\\.)*)"', 1)

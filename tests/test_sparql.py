@@ -148,5 +148,5 @@ def test_whole_tables_in_export_and_token_sets(spark, tmp_path):
     tables = {"nation": ("n_nationkey int, n_name string, n_regionkey int", [(1, "N", 0)]), "region": ("r_regionkey int, r_name string", [(0, "R")]), "customer": ("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", [(1, "c", 1, 0.0, "X")]), "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(1, "s", 1, 0.0)]), "part": ("p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", [(i, "red bolt", "b", "red", 1, 1.0) for i in (39, 40, 4000)])}
     for name, (schema, rows) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
-    assert {r.value.split(" ")[0] for r in QUERIES["export_ntriples_all"](spark, str(tmp_path)).collect()} == {"<urn:region:0>", "<urn:nation:1>", "<urn:customer:1>", "<urn:supplier:1>"}
-    assert {(r.a, r.r) for r in QUERIES["functions_token_set_all"](spark, str(tmp_path)).collect()} == {(f"urn:part:{i}", 0.5) for i in (39, 40, 4000)}
+    assert {r.value.split(" ")[0] for r in QUERIES["export_ntriples"](spark, str(tmp_path)).collect()} == {"<urn:region:0>", "<urn:nation:1>", "<urn:customer:1>", "<urn:supplier:1>"}
+    assert {(r.a, r.r) for r in QUERIES["functions_token_set"](spark, str(tmp_path)).collect()} == {(f"urn:part:{i}", 0.5) for i in (39, 40, 4000)}
