@@ -5,8 +5,9 @@ as a fingerprint (the last of equal ones). Two texts that share ``window`` words
 window is missed. Documents' fingerprints are joined with the benchmark's, and every hit is extended to the full windows
 around it, which must be equal under two 64-bit hashes. Items shorter than a window are looked up as a whole.
 
-The benchmark's index is broadcast in blocks of at most ``block_words`` words, read one after the other. Each block is one
-more pass over the batch in the same map stage, so documents are never shuffled, whatever the benchmark's size.
+The benchmark's index is broadcast in blocks of about ``block_words`` words, at most ``at_once`` of them at a time. Up to so
+many are looked up in one map stage without a shuffle. A larger benchmark takes a map stage over the documents for each
+``at_once`` blocks; then only rows with hits are shuffled, and what the stages found is put together.
 
 Nulls and empty texts have no words; items with a null text or without words are no windows. An item whose id is null has
 windows like any other, which count as hits, but no id to be told. Repeated documents are each judged alone; repeated items
@@ -16,6 +17,7 @@ count once for each item_id. Item ids may be of any type and are compared as str
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .frames import append
+from .frames import append, written
 
 FIELDS = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -141,14 +143,56 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int,
         yield Index(ids, texts, window)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 2_000_000, keep: list[str] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 2_000_000, at_once: int = 4, keep: list[str] | None = None) -> DataFrame:
     """docs with n_words, n_hit, spans and item_ids.
 
     spans: word places [from, to, from, to, ...) that are hit, merged and in order. item_ids: distinct ids of the items
     with a window in the document, sorted as strings. ``keep``: the columns of docs to return, all of them if None.
     """
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(i) for i in _blocks(benchmark, item_id, item_text, block_words, window)]
+    blocks = _blocks(benchmark, item_id, item_text, block_words, window)
+    now, after = list(islice(blocks, at_once)), list(islice(blocks, at_once))
+    if not after:
+        return _looked_up(docs, now, text, keep)[0]
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found: list[DataFrame] = []
+    while now:
+        out, shared = _looked_up(rows, now, text, ["__row"])
+        found.append(written(out.where("n_hit > 0").select("__row", "spans", "item_ids")))
+        for x in shared:
+            x.destroy()
+        now, after = after, list(islice(blocks, at_once))
+    all_found = found[0]
+    for x in found[1:]:
+        all_found = all_found.unionByName(x)
+    flat = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  a row has one entry a stage
+    together = all_found.groupBy("__row").agg(flat("spans").alias("__spans"), F.array_sort(F.array_distinct(flat("item_ids"))).alias("__ids"))
+
+    def joined(batch: pa.RecordBatch) -> list[pa.Array]:
+        data, offsets, _ = K.column(batch, text)
+        n_words = [np.bincount(K.words(data, offsets[a : b + 1], K.alnum(True))[0], minlength=b - a) for a, b in K.chunks(offsets)]
+        spans = [_merged(x or []) for x in batch.column(batch.schema.get_field_index("__spans")).to_pylist()]
+        ids = [x or [] for x in batch.column(batch.schema.get_field_index("__ids")).to_pylist()]
+        hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+        return [pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))]
+
+    columns = [c for c in docs.columns if keep is None or c in keep]
+    return append(rows.join(together, "__row", "left"), FIELDS, joined, columns)
+
+
+def _merged(spans: list[int]) -> list[int]:
+    """Spans [from, to, from, to, ...] of several stages in order, without overlaps."""
+    out: list[int] = []
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+def _looked_up(docs: DataFrame, blocks: list[Index], text: str, keep: list[str] | None) -> tuple[DataFrame, list]:
+    """docs with what is found in some blocks, and the broadcasts behind it."""
+    shared = [docs.sparkSession.sparkContext.broadcast(i) for i in blocks]
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         data, offsets, _ = K.column(batch, text)
@@ -183,4 +227,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         whole = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return [whole(n_words), whole(n_hit), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
 
-    return append(docs, FIELDS, compute, keep)
+    return append(docs, FIELDS, compute, keep), shared

@@ -5,8 +5,8 @@ here in numpy by backpropagation through time on windows of WIDTH bytes: every p
 document's language. Whole texts are read as consecutive windows; each position gets label probabilities from both
 directions, and a document's probabilities are their mean over its letter bytes.
 
-The training sample is bounded: up to ``per_language`` documents of each of the up to LANGUAGES most frequent languages,
-chosen by a hash of their ids, and up to WINDOWS windows of each, at hashed places. Its size doesn't grow with the corpus.
+The training sample is bounded: up to ``per_language`` documents of each of at most ``languages`` languages (more are an
+error, none is left out), chosen by a hash of their ids, and up to WINDOWS windows of each, at hashed places. Its size doesn't grow with the corpus.
 
 A text that is null or has no letter is ``und`` with score 0. Null ids and labels are never learned from. Repeated rows
 get equal predictions. If no row can be learned from, every text is ``und``.
@@ -26,7 +26,7 @@ from . import textkit as K
 from .frames import append
 
 HIDDEN, WIDTH = 8, 64
-LANGUAGES, WINDOWS = 64, 4
+WINDOWS = 4
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -166,9 +166,11 @@ def pooled(m: Model, data: np.ndarray, offsets: np.ndarray, block: int = 2048) -
     return total / np.maximum(letters, 1)[:, None]
 
 
-def _sample(docs: DataFrame, usable: Column, doc_id: str, text: str, lang: str, per_language: int) -> tuple[list[bytes], list[str]]:
+def _sample(docs: DataFrame, usable: Column, doc_id: str, text: str, lang: str, per_language: int, languages: int) -> tuple[list[bytes], list[str]]:
     known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    sizes = known.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(languages + 1).collect()
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} languages")
     if not sizes:
         return [], []
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r.l, min(1.0, 2.0 * per_language / r["count"]))])
@@ -189,9 +191,9 @@ def _sample(docs: DataFrame, usable: Column, doc_id: str, text: str, lang: str,
     return windows, labels
 
 
-def fit(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250) -> Model | None:
+def fit(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 250, languages: int = 64) -> Model | None:
     """A model learned from a bounded sample of the rows of docs for which ``usable`` holds; None if there are none."""
-    windows, labels = _sample(docs, usable, doc_id, text, lang, per_language)
+    windows, labels = _sample(docs, usable, doc_id, text, lang, per_language, languages)
     return train(windows, labels) if windows else None
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import textkit as K
 from .frames import append
 
-MIN_DOCS, WORDS, GRADES = 5, 2000, 8
+MIN_DOCS, WORDS, GRADES = 5, 2000, 64
 FIELDS = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
 
 
@@ -95,10 +95,16 @@ def train(docs: list[np.ndarray], grades: np.ndarray, mass: np.ndarray, *, steps
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", grade: str = "grade", per_grade: int = 3000) -> Model:
-    """Learns from the documents that labels (label_id, grade: 0, 1, ... below GRADES) names."""
+    """Learns from the documents that labels (label_id, grade: 0, 1, ...) names; a label that is null or negative is none.
+
+    The sample has about ``per_grade`` documents of each grade. A grade of GRADES or above is an error: its thresholds would
+    have hardly any documents each.
+    """
     spark = docs.sparkSession
-    known = labels.select(F.col(label_id).alias("k"), F.col(grade).cast("int").alias("g")).where(f"k is not null and g between 0 and {GRADES - 1}")
-    sizes = {r.g: r["count"] for r in known.groupBy("g").count().collect()}
+    known = labels.select(F.col(label_id).alias("k"), F.col(grade).cast("int").alias("g")).where("k is not null and g >= 0")
+    sizes = {r.g: r["count"] for r in known.groupBy("g").count().limit(GRADES + 1).collect()}
+    if max(sizes, default=0) >= GRADES:
+        raise ValueError(f"a grade of {GRADES} or more")
     if not sizes:
         return train([], np.zeros(0, int), np.zeros(0))
     share = F.create_map(*[F.lit(v) for g, n in sizes.items() for v in (g, min(1.0, per_grade / n))])

@@ -83,12 +83,12 @@ def brute_contamination(texts, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("block_words", [1, 10**6])
-def test_decontamination(spark, block_words):
+@pytest.mark.parametrize("block_words,at_once", [(1, 100), (1, 2), (10**6, 4)])
+def test_decontamination(spark, block_words, at_once):
     items = [(None, prose(11, 12)), (1, prose(1, 30)), (2, prose(2, 10)), (3, "tiny item"), (4, None), (5, "..."), (6, prose(1, 30)), (10, prose(4, 200))]
     texts = [*ODD, prose(11, 12), prose(1, 30), prose(1, 30), "x " + prose(1, 12) + " y", prose(2, 10).upper().replace(" ", " - "), prose(2, 9), "a Tiny, item!", prose(9, 500), prose(9, 40) + " " + prose(4, 60) + " " + prose(8, 50) + " " + prose(1, 30)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.decontaminate(docs_of(spark, texts), bench, block_words=block_words).orderBy("doc_id").collect()
+    got = decontamination.decontaminate(docs_of(spark, texts), bench, block_words=block_words, at_once=at_once).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_hit, r.item_ids) for r in got] == brute_contamination(texts, items)
     assert all(r.n_hit == sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2])) for r in got)
 
@@ -366,6 +366,15 @@ def test_toxicity(spark):
     assert {r.toxic for r in toxicity.score(docs, none).collect()} == {False}
 
 
+def test_nothing_is_left_out_silently(spark):
+    docs = docs_of(spark, ["some text", "more text"]).withColumn("lang", F.col("doc_id").cast("string"))
+    with pytest.raises(ValueError):
+        langid.fit(docs, F.lit(True), languages=1)
+    with pytest.raises(ValueError):
+        toxicity.fit(docs, spark.createDataFrame([(0, 1), (1, toxicity.GRADES)], "doc_id long, grade int"))
+    assert len(toxicity.fit(docs, spark.createDataFrame([(0, 0), (1, 9), (1, -1)], "doc_id long, grade int")).thresholds) == 9
+
+
 # -- op 3
 def test_surrogates(spark):
     key = b"k" * 16
