@@ -45,24 +45,22 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df after a round trip through Parquet in the shared folder: a cut of lineage that outlives executors.
+def scratch(spark: SparkSession) -> str:
+    """A new path inside the session's own checkpoint folder, deleted when the session's application ends."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
-    The folder lies inside the session's own checkpoint folder and is deleted when the session's application ends.
-    """
+
+def written(df: DataFrame) -> DataFrame:
+    """df after a round trip through Parquet in the shared folder: a cut of lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    _dropped_at_end(spark, path)
+    path = scratch(spark)
     df.write.options(**SCRATCH).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _dropped_at_end(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-
-
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a frame that ``written`` gave, once nothing needs them."""
     spark = df.sparkSession

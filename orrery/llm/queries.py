@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html, langid, neardup, oracles, packing, pii, quality, tokens, toxicity, urls
-from .frames import shared_folder, table
+from .frames import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +54,7 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = tokens.counted(docs.withColumn("n_chars", F.length("text")), path, keep=["source", "lang", "n_chars"])
     rows = rows.withColumn("tokenizer", F.lit(tokens.version(path, "word_bpe_49k")))
-    store = tokens.Rollups(spark, f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}")
+    store = tokens.Rollups(spark, scratch(spark))
     store.commit("all documents", tokens.deltas(inserted=rows))
     return store.totals()
 

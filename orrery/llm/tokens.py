@@ -107,9 +107,14 @@ class Rollups:
             return False
         aside = f"{self.folder}/_aside-{uuid.uuid4().hex}"
         summed(changes).coalesce(1).write.parquet(aside)
-        if self._fs.rename(self._path(aside), self._path(f"{self.folder}/{self._name(batch)}")):
+        return self._put(aside, self._name(batch))
+
+    def _put(self, aside: str, name: str) -> bool:
+        """Gives a folder its name, if no other writer has taken it; else deletes the folder."""
+        where = f"{self.folder}/{name}"
+        if not self._fs.exists(self._path(where)) and self._fs.rename(self._path(aside), self._path(where)):
             # a rename onto a folder that another writer has just made puts ours inside it: take it out again
-            inner = self._path(f"{self.folder}/{self._name(batch)}/{aside.rsplit('/', 1)[1]}")
+            inner = self._path(f"{where}/{aside.rsplit('/', 1)[1]}")
             if not self._fs.exists(inner):
                 return True
             self._fs.delete(inner, True)
@@ -126,7 +131,11 @@ class Rollups:
         return summed(self.spark.read.schema(SCHEMA).parquet(*live)).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
     def compact(self) -> None:
-        """Replaces all batches so far by their sum. Batches that are committed meanwhile stay beside it."""
+        """Replaces all batches so far by their sum. Batches that are committed meanwhile stay beside it.
+
+        A sum is named by its generation. Of compactions that start from the same one, the first to end counts; the others
+        find its name taken and leave nothing.
+        """
         names = self._names()
         gone = self._replaced(names)
         live = [n for n in names if n not in gone]
@@ -137,4 +146,4 @@ class Rollups:
         summed(rows).coalesce(1).write.parquet(f"{aside}/rows")
         held = sorted(set(live) | gone)
         self.spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.text(f"{aside}/members")
-        self._fs.rename(self._path(aside), self._path(f"{self.folder}/sum={uuid.uuid4().hex}"))
+        self._put(aside, f"sum={1 + max((int(n[4:]) for n in names if n.startswith('sum=')), default=0):09d}")

@@ -126,6 +126,14 @@ def test_quality_base(spark):
     assert got[len(ODD)].kept
 
 
+def test_quality_rejects_by_characters_what_the_base_keeps(spark):
+    """Ten of 60 words are in repeated windows, which the base rule keeps, but they hold half of the characters."""
+    long = " ".join(f"{c * 40}" for c in "abcde")
+    short = prose(5, 50).replace("w", "")
+    got = quality.repetition(docs_of(spark, [f"{long} {short} {long}", f"{short} end"])).orderBy("doc_id").collect()
+    assert [(r.base_failed, r.kept) for r in got] == [(False, False), (False, True)]
+
+
 # -- op 8
 def test_encoding_is_the_library_s(spark):
     rng = np.random.default_rng(0)
@@ -597,3 +605,18 @@ def test_html_of_odd_tables(spark):
     rows = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None)], "page_id long, html string")
     assert sorted((r.page_id, r.text) for r in html.extract(rows).collect() if r.text) == [(1, "a"), (1, "a")]
     assert html.extract(rows.limit(0)).count() == 0
+
+
+def test_two_compactions_at_a_time(spark, tmp_path):
+    rows = docs_of(spark, ["a b", "c"]).withColumn("n_tokens", F.lit(2)).withColumn("n_chars", F.lit(3)).withColumn("tokenizer", F.lit("v"))
+    one, two = tokens.Rollups(spark, str(tmp_path / "store")), tokens.Rollups(spark, str(tmp_path / "store"))
+    assert one.commit("a", tokens.deltas(inserted=rows)) and one.commit("b", tokens.deltas(inserted=rows)) and not two.commit("a", tokens.deltas(inserted=rows))
+    before, names = sorted(map(str, one.totals().collect())), two._names()
+    two._names = lambda: names  # starts from what it sees before the other ends
+    one.compact()
+    two.compact()
+    del two._names
+    assert sorted(map(str, two.totals().collect())) == before and len([n for n in two._names() if n.startswith("sum=")]) == 1
+    two.commit("c", tokens.deltas(deleted=rows))
+    two.compact()
+    assert not one.commit("b", tokens.deltas(inserted=rows)) and sum(r.n_docs for r in one.totals().collect()) == 2
