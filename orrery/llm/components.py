@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import dropped, written
+from .frames import dropped, gathered
 
 #: A block of edges that one task joins by union-find.
 BLOCK_EDGES = 500_000
@@ -61,9 +61,9 @@ def components(edges: DataFrame, *, block_edges: int = BLOCK_EDGES) -> DataFrame
     the edges form stars after a number of rounds that grows with the logarithm of the longest path. Nulls and loops are
     left out. A node with very many edges to smaller ones makes its block larger; it meets each neighbour once.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    now = gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     blocks = max(1, -(-now.count() // block_edges))
-    forest = written(_blocks(now, blocks))
+    forest = gathered(_blocks(now, blocks))
     dropped(now)
     now = forest
     state = _state(now) if blocks > 1 else None
@@ -74,7 +74,7 @@ def components(edges: DataFrame, *, block_edges: int = BLOCK_EDGES) -> DataFrame
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = written(after)
+        after = gathered(after)
         dropped(now)
         now, before, state = after, state, _state(after)
         if state == before:

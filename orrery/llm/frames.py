@@ -61,6 +61,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """As ``written``, in fewer files, for what comes out of a shuffle: its partitions may be many and small.
+
+    A task takes at most eight shuffle partitions where there are many, one after the other, so that it needs no more memory
+    than for one; and there are at least three tasks a core.
+    """
+    spark = df.sparkSession
+    return written(df.coalesce(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a frame that ``written`` gave, once nothing needs them."""
     spark = df.sparkSession

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from .components import components
-from .frames import dropped, written
+from .frames import dropped, gathered, written
 
 REGISTERS, ROWS = 192, 6
 BASE, TOP = 1.02, 65534
@@ -408,33 +408,33 @@ def groups_of(docs: DataFrame, rule: Rule = Rule(), *, doc_id: str = "doc_id", t
     """doc_id, n_shingles, component_id and kept for each row of docs. small: groups of up to so many classes propose all pairs."""
     signed = written(signatures(docs, rule, doc_id, text))
     least = signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "sketch", "bands")).alias("x"))
-    cls = written(least.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "n", "x.*"))
+    cls = gathered(least.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "n", "x.*"))
     classes = cls.select("cid", "n", "sketch")
-    groups = written(_with_size(cls.select("cid", "n", F.explode("bands").alias("gid")).distinct()))
+    groups = gathered(_with_size(cls.select("cid", "n", F.explode("bands").alias("gid")).distinct()))
     members = cls.select("cid", "id", "h1", "h2", "n").join(groups.select("cid").distinct(), "cid", "left_semi")
-    sets = written(_sets(docs, members, rule, doc_id, text))
-    repeated = written(_repeated(signed, cls))
-    star = written(_stars(groups.where(f"size > {small}").select("gid", "cid", "size")))
+    sets = gathered(_sets(docs, members, rule, doc_id, text))
+    repeated = gathered(_repeated(signed, cls))
+    star = gathered(_stars(groups.where(f"size > {small}").select("gid", "cid", "size")))
     sizes = classes.select(F.col("cid"), "n")
     fitting = star.join(sizes, "cid").join(sizes.select(F.col("cid").alias("centre"), F.col("n").alias("nb")), "centre").where(_fits(rule, "n", "nb"))
     proposed = _within(groups.where(f"size <= {small}"), rule).unionByName(fitting.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b"))).distinct()
-    likely = written(_likely(proposed, classes, rule))
+    likely = gathered(_likely(proposed, classes, rule))
     same = repeated.groupBy("id").agg(F.min("cid").alias("a")).join(repeated, "id").select("a", F.col("cid").alias("b"))
-    found = written(components(_linked(likely, sets, rule).unionByName(same)))
-    diffs = written(_differences(star, sets, found, rule))
+    found = gathered(components(_linked(likely, sets, rule).unionByName(same)))
+    diffs = gathered(_differences(star, sets, found, rule))
     done = [groups, sets, star, likely, found, diffs]
     if not diffs.isEmpty():
-        listed = written(_prefixes(diffs, rule))
-        meeting = written(_meeting(listed, rule))
+        listed = gathered(_prefixes(diffs, rule))
+        meeting = gathered(_meeting(listed, rule))
         done += [listed, meeting]
         more = _close(meeting, diffs, rule).unionByName(diffs.where("w <= room").select(F.col("centre").alias("a"), F.col("cid").alias("b")))
-        found = written(components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        found = gathered(components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))
         done.append(found)
     linked = found.withColumnRenamed("node", "cid").join(cls.select("cid", "h1", "h2", "n", "id"), "cid")
     first = linked.groupBy("component").agg(F.min("id").alias("least"))
     grouped = linked.join(first, "component").select("h1", "h2", "n", "cid", "least")
     alone = cls.select("cid", "h1", "h2", "n", F.col("id").alias("least")).join(found.select(F.col("node").alias("cid")), "cid", "left_anti")
-    named = written(grouped.unionByName(alone))
+    named = gathered(grouped.unionByName(alone))
     for x in done:
         dropped(x)
     out = signed.select("id", "n", "h1", "h2").join(named.select("h1", "h2", "n", "least"), ["h1", "h2", "n"], "left")
