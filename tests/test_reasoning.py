@@ -232,3 +232,41 @@ def test_views(spark):
     assert w.order() == ["r2", "r3"]
     with pytest.raises(ValueError):
         w.create("r4", "CONSTRUCT { ?x :near ?y } WHERE { GRAPH :e { ?x :k ?y } }", "http://x/d", ("http://x/e",))
+
+
+def test_filters_of_two_columns_cost_few_steps(spark):
+    import time
+
+    odd = [("ff00", "0f00"), ("f" * 31, "0" * 30 + "f1"), ("Zf", "1f"), ("", ""), ("", "0"), ("", "ff"), (None, "ff"), (None, None), (None, "0"), ("abc", "ABC"), ("00", "0000")]
+    ones = lambda x: [int(c, 16) if c in "0123456789abcdefABCDEF" else 0 for c in x or ""]
+
+    def expected(a, b):
+        if a is not None and a == b:
+            return 1.0
+        x, y = ones(a), ones(b)
+        total = sum(i.bit_count() for i in x + y)
+        return 2.0 * sum((i & j).bit_count() for i, j in zip(x, y)) / total if total else None if a is None or b is None else 0.0
+
+    got = spark.createDataFrame(odd, "a string, b string").select("a", "b", S.dice(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in got] == [expected(r.a, r.b) for r in got]
+    # the encoding of round 1 (bits set one by one)
+    assert R.bloom("Ann", b"k", 2, 16) == _bloom_by_bits("Ann", b"k", 2, 16) and R.bloom("Große ring", b"key") == _bloom_by_bits("Große ring", b"key", 20, 1024)
+    # rows of different texts, which would take minutes with each bit set and each digit read by itself
+    rows = spark.range(20_000).select(F.concat(F.lit("urn "), "id").alias("x"), F.concat("id", F.lit(" urn")).alias("y"))
+    start = time.time()
+    assert rows.select(R.bloom_encoded(F.col("x"), b"k").alias("x"), R.bloom_encoded(F.col("y"), b"k").alias("y")).where(S.dice(F.col("x"), F.col("y")) < 1).count() == 20_000
+    assert time.time() - start < 20
+
+
+def _bloom_by_bits(value, key, hashes, bits):
+    import hashlib
+    import hmac
+
+    out, padded = bytearray(bits // 8), f"_{value.lower()}_"
+    for i in range(len(padded) - 1):
+        d = hmac.new(key, padded[i : i + 2].encode(), hashlib.sha256).digest()
+        a, b = int.from_bytes(d[:8], "big"), int.from_bytes(d[8:16], "big") | 1
+        for j in range(hashes):
+            at = (a + j * b) % bits
+            out[at // 8] |= 1 << (at % 8)
+    return out.hex()
