@@ -20,6 +20,7 @@ from ..functions.values import TERM, Val
 from ..plans import algebra as A
 from ..plans.compiler import Compiler, Context, Solutions
 from ..plans.parser import Parser, SparqlError
+from .graph import components
 from .lineage import written
 
 TRIPLE = ["s", "p", "o"]
@@ -529,16 +530,7 @@ def retract(facts: DataFrame, derived: DataFrame, rules: list[Rule], gone: DataF
 
 def same_as(facts: DataFrame) -> DataFrame:
     """(node, canonical): the smallest term of each owl:sameAs component."""
-    e = facts.where(F.col("p") == A.OWL + "sameAs").select("s", "o")
-    edges = written(e.unionByName(e.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct())
-    label = written(edges.select(F.col("s").alias("node"), F.col("s").alias("c")).distinct())
-    while True:
-        near = edges.join(label.withColumnsRenamed({"node": "o", "c": "m"}), "o").groupBy("s").agg(F.min("m").alias("m"))
-        nxt = written(label.join(near, label["node"] == near["s"], "left").select("node", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")))
-        if nxt.where("moved").isEmpty():
-            return nxt.select("node", F.col("c").alias("canonical"))
-        hop = nxt.select("node", "c").join(nxt.select(F.col("node").alias("c"), F.col("c").alias("d")), "c", "left")
-        label = written(hop.select("node", F.least("c", F.coalesce("d", "c")).alias("c")))
+    return components(facts.where(F.col("p") == A.OWL + "sameAs").select("s", "o")).withColumnRenamed("component", "canonical")
 
 
 def canonicalised(facts: DataFrame) -> DataFrame:

@@ -258,6 +258,21 @@ def test_filters_of_two_columns_cost_few_steps(spark):
     assert time.time() - start < 20
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch, block):
+    made = []
+    monkeypatch.setattr(G, "written", lambda df, keep=G.written: made.append(1) or keep(df))
+    # texts along a path are in the order of numbers, not of texts, so that it has many local minima; a loop and a pair besides
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    path = spark.range(1, 120).select(name(F.col("id")).alias("s"), name(F.col("id") + 1).alias("o"))
+    e = path.unionByName(spark.createDataFrame([("x", "x"), ("z", "y"), ("y", "z"), ("z", None)], "s string, o string"))
+    got = {r.node: r.component for r in G.components(e, block_edges=block).collect()}
+    assert got == {f"n{i}": "n1" for i in range(1, 121)} | {"x": "x", "y": "y", "z": "y"}
+    assert len(made) < 40
+    quads = path.select(*[V.struct(0, F.col(c)).alias(c) for c in "so"]).withColumn("p", F.lit(A.OWL + "sameAs"))
+    assert {r.c for r in D.same_as(quads).select(F.col("canonical.lex").alias("c")).collect()} == {"n1"}
+
+
 def _bloom_by_bits(value, key, hashes, bits):
     import hashlib
     import hmac
