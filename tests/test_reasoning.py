@@ -273,6 +273,17 @@ def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch, block):
     assert {r.c for r in D.same_as(quads).select(F.col("canonical.lex").alias("c")).collect()} == {"n1"}
 
 
+def test_blocks_are_resolved_without_their_pairs(spark, tmp_path, monkeypatch):
+    from orrery.queries import QUERIES
+
+    rows = [(i, f"B{i % 2}", i % 3) for i in range(300)] + [(900, None, 1), (901, None, 1), (902, "B0", None), (903, "B0", None), (904, "B9", 9)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    linked = []
+    monkeypatch.setattr(R, "components", lambda e, keep=R.components: linked.append(e.count()) or keep(e))
+    got = {r.node: r.component for r in QUERIES["entity_resolution"](spark, str(tmp_path)).collect()}
+    assert got == {i: i % 6 for i in range(300)} and linked == [294]
+
+
 def _bloom_by_bits(value, key, hashes, bits):
     import hashlib
     import hmac
