@@ -21,7 +21,7 @@ from ..plans import algebra as A
 from ..plans.compiler import Compiler, Context, Solutions
 from ..plans.parser import Parser, SparqlError
 from .graph import components
-from .lineage import written
+from .lineage import in_rounds, written
 
 TRIPLE = ["s", "p", "o"]
 MAX_ROUNDS = 10_000
@@ -290,6 +290,7 @@ class Inference:
     eliminated: list[Rule] = field(default_factory=list)
 
 
+@in_rounds
 def infer(facts: DataFrame, rules: list[Rule], *, subsumption: bool = True, max_rounds: int = MAX_ROUNDS) -> Inference:
     """All that follows from facts (s, p, o) by the rules, stratum by stratum."""
     rules, gone = without_subsumed(rules) if subsumption else (rules, [])
@@ -377,6 +378,7 @@ def infer_demand(facts: DataFrame, rules: list[Rule], goals: list[A.Triple]) ->
     return infer(facts, sliced(rules, goals))
 
 
+@in_rounds
 def well_founded(facts: DataFrame, rules: list[Rule], max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
     """True and unknown facts of rules whose negation may be cyclic, by the alternating fixpoint."""
 
@@ -412,9 +414,10 @@ def well_founded(facts: DataFrame, rules: list[Rule], max_rounds: int = 100) ->
     else:
         raise DatalogError(f"no fixpoint after {max_rounds} rounds")
     told = facts.select(*TRIPLE)
-    return low.join(told, TRIPLE, "left_anti"), high.join(low, TRIPLE, "left_anti")
+    return written(low.join(told, TRIPLE, "left_anti")), written(high.join(low, TRIPLE, "left_anti"))
 
 
+@in_rounds
 def lattice(edges: DataFrame, values: DataFrame, join: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Least fixpoint of values (s, v) pushed along edges (s, o): join is min, max, set (of arrays) or hull (struct lo, hi)."""
     spread = {"min": F.min("v"), "max": F.max("v"), "set": F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))), "hull": F.struct(F.min("v.lo").alias("lo"), F.max("v.hi").alias("hi"))}[join]
@@ -472,6 +475,7 @@ def justify(result: Inference, rules: list[Rule], fact: str, depth: int = 20) ->
     return proof(fact, ())
 
 
+@in_rounds
 def weighted(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     """(s, p, o, confidence) of one pass of weighted rules over facts (s, p, o, confidence): products, joined by noisy-or."""
     parts = []
@@ -491,7 +495,7 @@ def weighted(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy(*TRIPLE).agg(noisy_or("confidence").alias("confidence"))
+    return written(out.groupBy(*TRIPLE).agg(noisy_or("confidence").alias("confidence")))
 
 
 def noisy_or(column: str):
@@ -499,6 +503,7 @@ def noisy_or(column: str):
     return F.when(F.max(column) >= 1, F.lit(1.0)).otherwise(1 - F.exp(F.sum(F.log1p(-F.least(F.col(column), F.lit(1 - 1e-15))))))
 
 
+@in_rounds
 def hypothetical(facts: DataFrame, rules: list[Rule], assume: DataFrame | None = None, retract: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Derived facts that would come, and that would go, if some facts were added and others taken away."""
     before = infer(facts, rules).derived
@@ -508,13 +513,14 @@ def hypothetical(facts: DataFrame, rules: list[Rule], assume: DataFrame | None =
     if assume is not None:
         changed = changed.unionByName(assume.select(*TRIPLE)).distinct()
     after = infer(changed, rules).derived
-    return after.join(before, TRIPLE, "left_anti"), before.join(after, TRIPLE, "left_anti")
+    return written(after.join(before, TRIPLE, "left_anti")), written(before.join(after, TRIPLE, "left_anti"))
 
 
+@in_rounds
 def retract(facts: DataFrame, derived: DataFrame, rules: list[Rule], gone: DataFrame) -> Inference:
     """Delete and re-derive: derived facts whose derivation used a deleted one are dropped and derived again where they still follow."""
     told = facts.select(*TRIPLE).join(gone.select(*TRIPLE), TRIPLE, "left_anti")
-    everything = facts.select(*TRIPLE).unionByName(derived.select(*TRIPLE)).distinct()
+    everything = written(facts.select(*TRIPLE).unionByName(derived.select(*TRIPLE)).distinct())
     suspect = frontier = written(gone.select(*TRIPLE).distinct())
     while not frontier.isEmpty():
         parts = [_head(r, _body(r, everything, frontier, i)) for r in rules if r.head is not None for i in range(len(r.body))]
@@ -525,7 +531,7 @@ def retract(facts: DataFrame, derived: DataFrame, rules: list[Rule], gone: DataF
         suspect = suspect.unionByName(frontier)
     sound = told.unionByName(derived.select(*TRIPLE).join(suspect, TRIPLE, "left_anti")).distinct()
     out = infer(written(sound), rules)
-    return Inference(out.facts, out.facts.join(told, TRIPLE, "left_anti"), out.rounds)
+    return Inference(out.facts, written(out.facts.join(told, TRIPLE, "left_anti")), out.rounds)
 
 
 def same_as(facts: DataFrame) -> DataFrame:

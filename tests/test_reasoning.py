@@ -284,6 +284,28 @@ def test_blocks_are_resolved_without_their_pairs(spark, tmp_path, monkeypatch):
     assert got == {i: i % 6 for i in range(300)} and linked == [294]
 
 
+def test_rounds_broadcast_by_rows_not_by_files(spark):
+    from orrery.operators.lineage import sized_broadcasts
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    told, keep = spark.conf.get(key), D.written
+    try:
+        spark.conf.set(key, "200000")
+        # 30,000 facts about one object take less than the limit in a file and far more as rows
+        rows = G.written(spark.range(30_000).select(V.struct(0, F.concat(F.lit("urn:x:"), F.col("id").cast("string"))).alias("s"), F.lit("urn:in").alias("p"), V.struct(0, F.lit("urn:y")).alias("o")))
+        plan = lambda: rows.alias("a").join(rows.alias("b"), F.col("a.s") == F.col("b.o"))._jdf.queryExecution().sparkPlan().toString()
+        with sized_broadcasts(spark):
+            assert "BroadcastHashJoin" not in plan() and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "200000"
+        assert spark.conf.get(key) == "200000" and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+        seen = []
+        D.written = lambda df: seen.append(df._jdf.queryExecution().sparkPlan().toString()) or G.written(df)
+        out = D.infer(rows, D.parse_rules("?x <urn:w> ?y :- ?x <urn:in> ?y . ?x <urn:w> ?z :- ?x <urn:w> ?y, ?y <urn:in> ?z ."))
+        assert out.derived.count() == 30_000 and not any("BroadcastHashJoin" in x for x in seen) and spark.conf.get(key) == "200000"
+    finally:
+        D.written = keep
+        spark.conf.set(key, told)
+
+
 def _bloom_by_bits(value, key, hashes, bits):
     import hashlib
     import hmac
