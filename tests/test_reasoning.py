@@ -306,6 +306,17 @@ def test_rounds_broadcast_by_rows_not_by_files(spark):
         spark.conf.set(key, told)
 
 
+def test_approximate_counts_keep_a_sketch_for_each_group_only(spark, tmp_path):
+    from orrery.queries import QUERIES
+
+    rows = [("A", i % 700) for i in range(2000)] + [("N", 1), ("N", None), (None, 5), (None, 5), ("R", None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = QUERIES["approximate_distinct"](spark, str(tmp_path))
+    assert {(r.f, r.near) for r in out.collect()} == {("A", True), ("N", True), (None, True), ("R", True)}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "approx_count_distinct" in x and "keys=[" in x and "l_orderkey" in x.split("functions=")[0]]
+
+
 def _bloom_by_bits(value, key, hashes, bits):
     import hashlib
     import hmac
