@@ -317,6 +317,20 @@ def test_approximate_counts_keep_a_sketch_for_each_group_only(spark, tmp_path):
     assert not [x for x in plan.splitlines() if "approx_count_distinct" in x and "keys=[" in x and "l_orderkey" in x.split("functions=")[0]]
 
 
+def test_frequent_values_meet_in_many_tasks(spark, tmp_path, monkeypatch):
+    from orrery.plans import compiler
+    from orrery.queries import QUERIES
+
+    monkeypatch.setattr(compiler, "CELL", 16)
+    rows = [(i, 1, "B") for i in range(300)] + [(i, i % 4, f"B{i % 3}") for i in range(300, 340)] + [(400, None, "B"), (401, 1, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    out = QUERIES["bgp_value_join"](spark, str(tmp_path))
+    expected = sorted((f"urn:part:{x[0]}", f"urn:part:{y[0]}") for x in rows for y in rows if x[1] is not None and x[1] < 3 and x[1:] == y[1:] and None not in x and x[0] != y[0])
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b) for r in got) == expected
+    assert len({r.task for r in got if r.a == "urn:part:7"}) > 3  # one row's partners come from more tasks than one
+
+
 def _bloom_by_bits(value, key, hashes, bits):
     import hashlib
     import hmac
