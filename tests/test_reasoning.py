@@ -331,6 +331,38 @@ def test_frequent_values_meet_in_many_tasks(spark, tmp_path, monkeypatch):
     assert len({r.task for r in got if r.a == "urn:part:7"}) > 3  # one row's partners come from more tasks than one
 
 
+@pytest.mark.parametrize(
+    ("on", "fits"),
+    [
+        ("?cb > ?sb + 9000", lambda s, c: c > s + 9000),
+        ("?sb + 9000 <= ?cb", lambda s, c: c >= s + 9000),
+        ("?cb < ?sb && ?cb != 40.0e0 && ?sb < 900", lambda s, c: c < s < 900 and c != 40),
+        ("?cb >= ?sb && ?cb <= ?sb + 5", lambda s, c: s <= c <= s + 5),  # two ranges: the plain join
+    ],
+)
+def test_ranges_of_an_optional_meet_in_cells(spark, tmp_path, monkeypatch, on, fits):
+    from orrery.plans import compiler
+    from orrery.sources.quads import select
+    from orrery.sources.tables import star_schema
+
+    monkeypatch.setattr(compiler, "CELL", 4)
+    # ties over many cells, a frequent nation, suppliers without partners, nations on one side only, unbound values
+    customers = [(i, 1, float(i % 50 * 200)) for i in range(400)] + [(i, 2, 40.0) for i in range(400, 460)] + [(500, 3, 9999.0), (501, 1, None), (502, None, 9999.0), (503, 1, -0.0)]
+    suppliers = [(i, 1 + i % 2, float(i * 30 - 600)) for i in range(60)] + [(70, 1, 0.0), (71, 4, -900.0), (72, 1, None), (73, 1, 0.0), (74, 1, 99999.0), (75, 2, 35.0)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    text = f"SELECT ?s ?c WHERE {{ ?s col:s_nationkey ?n ; col:s_acctbal ?sb OPTIONAL {{ ?c col:c_nationkey ?n ; col:c_acctbal ?cb FILTER({on}) }} }}"
+    got = select(star_schema(spark, str(tmp_path), ["supplier", "customer"]), text, {"col": "urn:col:"}).withColumn("task", F.spark_partition_id()).collect()
+    expected = []
+    for s, n, b in suppliers:
+        if b is not None:
+            mine = [c for c, m, v in customers if m == n and v is not None and fits(b, v)]
+            expected += [(f"urn:supplier:{s}", f"urn:customer:{c}") for c in mine] or [(f"urn:supplier:{s}", "")]
+    assert sorted((r.s, r.c or "") for r in got) == sorted(expected)
+    if "<= ?sb + 5" not in on:  # one supplier's partners come from more tasks than one
+        assert len({r.task for r in got if r.s == "urn:supplier:0" or r.s == "urn:supplier:40"}) > 3
+
+
 def _bloom_by_bits(value, key, hashes, bits):
     import hashlib
     import hmac
