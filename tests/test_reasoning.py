@@ -306,6 +306,36 @@ def test_rounds_broadcast_by_rows_not_by_files(spark):
         spark.conf.set(key, told)
 
 
+def test_tasks_of_rounds_are_small_and_frequent_keys_are_split(spark, monkeypatch):
+    from orrery.operators import lineage
+
+    key, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    told = spark.conf.get(key)
+    iris = lambda df, s, o: df.select(V.struct(0, s).alias("s"), F.lit("urn:in").alias("p"), V.struct(0, o).alias("o"))
+    facts = G.written(iris(spark.range(30_000), F.concat(F.lit("urn:x:"), F.col("id").cast("string")), F.lit("urn:y")).unionByName(iris(spark.range(1), F.lit("urn:y"), F.lit("urn:z"))))
+
+    def run_first(df):
+        out = df.select(*df.columns)
+        seen.append((out.rdd.getNumPartitions(), out._jdf.queryExecution().executedPlan().toString()))
+        return G.written(df)
+
+    monkeypatch.setattr(lineage, "TASK_BYTES", 20_000)
+    monkeypatch.setattr(D, "written", run_first)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set(key, "1000")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1000")
+        rules = D.parse_rules("?x <urn:w> ?y :- ?x <urn:in> ?y . ?x <urn:w> ?z :- ?x <urn:w> ?y, ?y <urn:in> ?z .")
+        assert D.infer(facts, rules).derived.count() == 60_001
+        first, second = seen[0], seen[1]
+        assert first[0] > 10  # four partitions are set
+        assert "skew=true" in second[1]
+    finally:
+        spark.conf.set(key, told)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert before == {k: spark.conf.get(k, None) for k in before}
+
+
 def test_approximate_counts_keep_a_sketch_for_each_group_only(spark, tmp_path):
     from orrery.queries import QUERIES
 
