@@ -21,7 +21,7 @@ from ..plans import algebra as A
 from ..plans.compiler import Compiler, Context, Solutions
 from ..plans.parser import Parser, SparqlError
 from .graph import components
-from .lineage import in_rounds, written
+from .lineage import dealt, in_rounds, written
 
 TRIPLE = ["s", "p", "o"]
 MAX_ROUNDS = 10_000
@@ -258,6 +258,8 @@ def _body(rule: Rule, facts: DataFrame, delta: DataFrame | None, at: int | None)
         left.remove(i)
         part = match(delta if i == at else facts, rule.body[i])
         out = part if out is None else c.join(out, part)
+    if len(rule.body) == 1 and not rule.aggregates and not rule.negated:  # joins shuffle; here the heads' distinct would run where files are read
+        out = Solutions(dealt(out.df), out.types, out.maybe)
     for agg in rule.aggregates:
         inner = match(facts, agg.atom)
         keys = [n for n in inner.types if n != agg.var]
@@ -486,7 +488,7 @@ def weighted(facts: DataFrame, rules: list[Rule]) -> DataFrame:
         df = s.df
         for i, t in enumerate(r.body):
             of = lambda x, s=s: s.val(x.name) if isinstance(x, A.Var) else V.constant(x)
-            conf = facts.groupBy(*TRIPLE).agg(F.max("confidence").alias(f"__c{i}")).withColumnsRenamed({k: f"__{k}{i}" for k in TRIPLE})
+            conf = dealt(facts, *TRIPLE).groupBy(*TRIPLE).agg(F.max("confidence").alias(f"__c{i}")).withColumnsRenamed({k: f"__{k}{i}" for k in TRIPLE})
             df = df.join(conf, (V.to_term(of(t.s)) == conf[f"__s{i}"]) & (V.lexical(of(t.p)) == conf[f"__p{i}"]) & (V.to_term(of(t.o)) == conf[f"__o{i}"]))
             c = c * F.col(f"__c{i}")
         s2 = Solutions(df, s.types)
@@ -511,7 +513,7 @@ def hypothetical(facts: DataFrame, rules: list[Rule], assume: DataFrame | None =
     if retract is not None:
         changed = changed.join(retract.select(*TRIPLE), TRIPLE, "left_anti")
     if assume is not None:
-        changed = changed.unionByName(assume.select(*TRIPLE)).distinct()
+        changed = dealt(changed.unionByName(assume.select(*TRIPLE))).distinct()
     after = infer(changed, rules).derived
     return written(after.join(before, TRIPLE, "left_anti")), written(before.join(after, TRIPLE, "left_anti"))
 
@@ -520,8 +522,8 @@ def hypothetical(facts: DataFrame, rules: list[Rule], assume: DataFrame | None =
 def retract(facts: DataFrame, derived: DataFrame, rules: list[Rule], gone: DataFrame) -> Inference:
     """Delete and re-derive: derived facts whose derivation used a deleted one are dropped and derived again where they still follow."""
     told = facts.select(*TRIPLE).join(gone.select(*TRIPLE), TRIPLE, "left_anti")
-    everything = written(facts.select(*TRIPLE).unionByName(derived.select(*TRIPLE)).distinct())
-    suspect = frontier = written(gone.select(*TRIPLE).distinct())
+    everything = written(dealt(facts.select(*TRIPLE).unionByName(derived.select(*TRIPLE))).distinct())
+    suspect = frontier = written(dealt(gone.select(*TRIPLE)).distinct())
     while not frontier.isEmpty():
         parts = [_head(r, _body(r, everything, frontier, i)) for r in rules if r.head is not None for i in range(len(r.body))]
         new = parts[0]

@@ -336,6 +336,40 @@ def test_tasks_of_rounds_are_small_and_frequent_keys_are_split(spark, monkeypatc
     assert before == {k: spark.conf.get(k, None) for k in before}
 
 
+def test_no_round_hashes_rows_where_files_are_read(spark, monkeypatch):
+    plans = []
+
+    def run_seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return G.written(df)
+
+    def first_above_scans(plan):
+        path, out = [], []
+        for line in plan.splitlines():
+            node = line.lstrip(" :+-*")
+            depth = len(line) - len(node)
+            path = [x for x in path if x[0] < depth] + [(depth, node.split()[0] if node else "")]
+            if "Scan parquet" in node:
+                out.append(next((n for _, n in reversed(path) if "Exchange" in n or "Aggregate" in n), ""))
+        return out
+
+    monkeypatch.setattr(D, "written", run_seen)
+    iris = lambda df, s, p, o: df.select(V.struct(0, s).alias("s"), F.lit(p).alias("p"), V.struct(0, o).alias("o"))
+    ids = F.concat(F.lit("urn:x:"), F.col("id").cast("string"))
+    told = G.written(iris(spark.range(3000), ids, "urn:in", F.lit("urn:y")).unionByName(iris(spark.range(1), F.lit("urn:y"), "urn:in", F.lit("urn:z"))))
+    rules = D.parse_rules("?x <urn:w> ?y :- ?x <urn:in> ?y . ?x <urn:w> ?z :- ?x <urn:w> ?y, ?y <urn:in> ?z . ?y <urn:back> ?x :- ?x <urn:w> ?y . ?x <urn:w> ?y :- ?y <urn:back> ?x . <urn:a> <urn:some> <urn:b> :- ?x <urn:in> ?y .")
+    out = D.infer(told, rules)
+    assert out.derived.count() == out.derived.distinct().count() == 2 * 6001 + 1
+    kept = D.retract(told, out.derived, rules, told.where("s.lex = 'urn:y'"))
+    assert kept.derived.count() == 2 * 3000 + 1
+    more, fewer = D.hypothetical(told, rules, assume=iris(spark.range(1), F.lit("urn:z"), "urn:in", F.lit("urn:end")))
+    assert (more.count(), fewer.count()) == (2 * 3002, 0)
+    sure = D.weighted(told.withColumn("confidence", F.lit(0.5)), rules[:1])
+    assert {r.confidence for r in sure.collect()} == {0.5} and sure.count() == 3001
+    above = [n for p in plans for n in first_above_scans(p)]
+    assert above and not [n for n in above if "Aggregate" in n]
+
+
 def test_approximate_counts_keep_a_sketch_for_each_group_only(spark, tmp_path):
     from orrery.queries import QUERIES
 
